@@ -12,9 +12,10 @@ d = (1 - t) / (1 + t) * (|A| + |B|) shingles, so the points' L1 distance is at m
   sum for whole subtrees.
 * Pairs that survive are verified on their sets.
 
-Copies form one class at once. A leaf's pairs are first tried against its smallest class,
-and what that already links into one component needs no other pair; so no leaf emits
-all its pairs.
+Copies form one class at once, and leaves with the same members one leaf. Each leaf first
+emits a spanning forest of its surviving pairs, not all of them; what those verify as
+linked makes components, and only pairs between different components are looked at
+again.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import BROADCAST_IDS, SPACED, column_bytes, mix, shingles, slices, stored, words
 
-#: Coordinates of the points by which pairs are bounded.
+#: Least number of a point's coordinates; larger sets have more, about one for each shingle.
 COORDINATES = 64
 #: Filed entries of one bucket, about; buckets grow in number with the input.
 BUCKET_ENTRIES = 1_000_000
@@ -86,8 +87,13 @@ def class_of(own: np.ndarray) -> bytes:
 
 
 def point(own: np.ndarray) -> bytes:
-    """Counts of the set's shingles in ``COORDINATES`` groups (16 bits; a fuller group counts as unbounded)."""
-    return np.minimum(np.bincount((own >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES), 65535).astype("<u2").tobytes()
+    """Counts of the set's shingles in groups, a byte each (255: that many or more).
+
+    The number of groups is the power of two that the set's size reaches, so that
+    a group holds one or two shingles and few differences cancel out.
+    """
+    groups = max(COORDINATES, 1 << (len(own).bit_length() - 1))
+    return np.minimum(np.bincount((own >> np.uint64(16) & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
 
 
 def _bands(n: int) -> int:
@@ -188,12 +194,21 @@ class CountTree:
 def allowed(points: np.ndarray, sizes: np.ndarray, q: np.ndarray, n: int, bound: Bound) -> np.ndarray:
     """Which points can link with point ``q`` of size ``n``: by size, then by summed minima."""
     total = sizes + n
-    return (np.minimum(sizes, n) >= bound.least_shared(total)) & (np.minimum(points, q).sum(axis=1, dtype=np.int64) >= bound.least_shared(total))
+    out = np.minimum(sizes, n) >= bound.least_shared(total)
+    at = np.flatnonzero(out)
+    out[at] = np.minimum(points[at], q).sum(axis=1, dtype=np.int64) >= bound.least_shared(total[at])
+    return out
 
 
-def _points(column: list[bytes]) -> np.ndarray:
-    p = np.frombuffer(b"".join(column), "<u2").astype(np.int64).reshape(len(column), COORDINATES)
-    return np.where(p == 65535, np.int64(1) << 40, p)
+def same_space(column: list[bytes]) -> np.ndarray:
+    """Points in the coarsest of their spaces: groups that differ in a high bit are added up."""
+    least = min(map(len, column))
+    out = np.zeros((len(column), least), np.int32)
+    for i, x in enumerate(column):
+        p = np.frombuffer(x, np.uint8).astype(np.int32)
+        p[p == 255] = 1 << 24  # a full group bounds nothing
+        out[i] = p.reshape(-1, least).sum(axis=0)
+    return out
 
 
 def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -210,16 +225,15 @@ def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text",
     classes = stored(sets.where("n > 0").groupBy("cls").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point")), "classes")
     filed = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("c")).first()
     buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((0.27 * filed["n"] + 4 * filed["c"]) / BUCKET_ENTRIES))
-    leaves = stored(_leaves(documents, text, k, bound, buckets), "leaves")
-    # First each leaf's smallest class against the others, then what that leaves open.
-    held = stored(_member_sets(documents, key, text, k, leaves, classes), "members")
-    stars = leaves.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
-    links = stored(_verified(stars, classes, held, bound), "links")
-    found = components(links)
-    rest = _open_pairs(leaves, found, classes, bound)
-    more = stored(_verified(rest, classes, held, bound), "links")
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    leaves = _leaves(documents, text, k, bound, buckets)
+    points = stored(leaves.join(classes.select("cls", "n", "point"), "cls"), "points")
+    links = found = None
+    for whole in (False, True):
+        pairs = stored(_pairs_of(points, found, bound, whole), "pairs")
+        new = stored(_verified(pairs, _member_sets(documents, key, text, k, pairs, classes), bound), "links")
+        if found is None or not new.isEmpty():
+            links = links.unionByName(new) if links else new
+            found = components(links)
     # A class's component is named by the smallest key in any of its classes.
     named = found.join(classes.select("cls", "rep"), "cls")
     smallest = named.groupBy("label").agg(F.min("rep").alias("least"))
@@ -248,7 +262,7 @@ _ENTRY = np.dtype([("cell", "<u4"), ("lo", "<u8"), ("hi", "<u4")])
 
 
 def _leaves(documents: DataFrame, text: str, k: int, bound: Bound, buckets: int) -> DataFrame:
-    """cell, cls and leader (the cell's smallest class) of all cells of two classes or more.
+    """cell and cls of all cells of two classes or more; cells of the same classes are one.
 
     Entries travel packed, one row for a batch and bucket; a class that has several
     rows in a batch is filed once for it.
@@ -276,21 +290,19 @@ def _leaves(documents: DataFrame, text: str, k: int, bound: Bound, buckets: int)
             yield pa.RecordBatch.from_arrays([pa.array(there), pa.array([packed[cuts[b] : cuts[b + 1]].tobytes() for b in there.tolist()], pa.binary())], ["bucket", "entries"])
 
     def gather(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
         every = np.frombuffer(b"".join(table["entries"].to_pylist()), _ENTRY)
         every = every[np.lexsort((every["hi"], every["lo"], every["cell"]))]
         every = every[np.concatenate([[True], every[1:] != every[:-1]])]
-        first = np.concatenate([[True], every["cell"][1:] != every["cell"][:-1]])
-        begin = np.flatnonzero(first)
+        begin = np.flatnonzero(np.concatenate([[True], every["cell"][1:] != every["cell"][:-1]]))
         size = np.diff(np.append(begin, len(every)))
         shared = np.repeat(size > 1, size)
-        leader = every[np.repeat(begin, size)][shared]
-        every = every[shared]
-        cls = lambda x: pa.array([a + b for a, b in zip(_split(x["lo"], 8), _split(x["hi"], 4))], pa.binary())
-        return pa.table({"cell": pa.array((np.uint64(bucket) << np.uint64(32) | every["cell"].astype(np.uint64)).astype(np.int64)), "cls": cls(every), "leader": cls(leader)})
+        # A cell is named by its members, 64 bits of a sum of their hashes.
+        name = np.add.reduceat(mix(every["lo"] ^ np.uint64(0x8EBC6AF09C88C6E3)), begin)
+        every, cell = every[shared], np.repeat(name, size)[shared].astype(np.int64)
+        return pa.table({"cell": pa.array(cell), "cls": pa.array([a + b for a, b in zip(_split(every["lo"], 8), _split(every["hi"], 4))], pa.binary())})
 
     packed = documents.select(F.col(text).alias("text")).mapInArrow(file, "bucket long, entries binary")
-    return packed.groupBy("bucket").applyInArrow(gather, "cell long, cls binary, leader binary")
+    return packed.groupBy("bucket").applyInArrow(gather, "cell long, cls binary").distinct()
 
 
 def _split(column: np.ndarray, width: int) -> list[bytes]:
@@ -298,9 +310,10 @@ def _split(column: np.ndarray, width: int) -> list[bytes]:
     return [raw[i : i + width] for i in range(0, len(raw), width)]
 
 
-def _member_sets(documents: DataFrame, key: str, text: str, k: int, leaves: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls and its whole set (sorted 64-bit hashes) of the classes that share a cell."""
-    wanted = stored(leaves.select("cls").distinct().join(classes, "cls").select("rep"), "wanted")
+def _member_sets(documents: DataFrame, key: str, text: str, k: int, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls and its whole set (sorted 64-bit hashes) of the classes in pairs."""
+    ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    wanted = stored(ids.join(classes, "cls").select("rep"), "wanted")
     ids = wanted.distinct()
     few = wanted.count() <= BROADCAST_IDS
     rows = documents.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "rep", "left_semi")
@@ -311,23 +324,12 @@ def _member_sets(documents: DataFrame, key: str, text: str, k: int, leaves: Data
             for lo in range(0, len(found), 512):
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found[lo : lo + 512]], pa.binary()) for i in (0, 1)], ["cls", "members"])
 
-    # A key with several texts may bring classes that nobody asked for, or one class twice; joins on cls sort that out.
-    return rows.select("text").mapInArrow(run, "cls binary, members binary").dropDuplicates(["cls"])
-
+    # A key with several texts may bring classes that nobody asked for, or one class twice.
+    return stored(rows.select("text").mapInArrow(run, "cls binary, members binary").groupBy("cls").agg(F.first("members").alias("members")), "members")
 
-def _verified(pairs: DataFrame, classes: DataFrame, held: DataFrame, bound: Bound) -> DataFrame:
-    """The pairs (a, b) that link: by size, by summed minima, then by their sets."""
-    a, b = (classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")) for x in "ab")
-    near = pairs.join(b, "b").join(a, "a").where(f"least(na, nb) * {bound.den + bound.num} >= {bound.num} * (na + nb)")
-
-    def bounded(batches):
-        for batch in batches:
-            pa_, pb = _points(batch.column("pa").to_pylist()), _points(batch.column("pb").to_pylist())
-            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            keep = np.minimum(pa_, pb).sum(axis=1, dtype=np.int64) >= bound.least_shared(total)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    near = stored(near.mapInArrow(bounded, "a binary, b binary"), "near")
+def _verified(near: DataFrame, held: DataFrame, bound: Bound) -> DataFrame:
+    """The pairs (a, b) that link, by their sets."""
     # The sets of a's partners come to a, in portions of some hundred, and stream past it.
     portions = near.groupBy("a").agg(F.count(F.lit(1)).alias("m")).select("a", F.ceil(F.col("m") / 256).cast("int").alias("portions"))
     dealt = near.join(portions, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("portions")).cast("int").alias("portion"))
@@ -354,31 +356,42 @@ def _verified(pairs: DataFrame, classes: DataFrame, held: DataFrame, bound: Boun
     return together.mapInArrow(compare, "a binary, b binary")
 
 
-def _open_pairs(leaves: DataFrame, found: DataFrame, classes: DataFrame, bound: Bound) -> DataFrame:
-    """Pairs in a leaf that aren't in one component yet and whose points allow a link."""
-    labelled = leaves.select("cell", "cls").join(found, "cls", "left").select("cell", "cls", F.coalesce("label", "cls").alias("label"))
-    open_ = labelled.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell")
-    rows = labelled.join(open_, "cell").join(classes.select("cls", "n", "point"), "cls")
-    rows = rows.repartition("cell").sortWithinPartitions("cell", "cls").select("cell", "cls", "label", "n", "point")
+def _pairs_of(points: DataFrame, found: DataFrame | None, bound: Bound, whole: bool) -> DataFrame:
+    """Pairs of leaves' members, not in one component, whose points allow a link.
+
+    Not ``whole``: of each leaf a spanning forest of those pairs, nearest first.
+    """
+    if found is None:
+        rows = points.withColumn("label", F.col("cls"))
+    else:
+        rows = points.join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        open_ = rows.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell")
+        rows = rows.join(open_, "cell")
+    rows = rows.select("cell", "cls", "label", "n", "point").repartition("cell").sortWithinPartitions("cell", "cls")
 
     def leaf(cls: list, labels: list, sizes: np.ndarray, points: np.ndarray):
         tree = CountTree(points, sizes) if len(cls) >= TREE_FROM else None
         numbers = {x: i for i, x in enumerate(dict.fromkeys(labels))}
         of = np.array([numbers[x] for x in labels])
         for i in range(len(cls) - 1):
-            if tree:
-                near = tree.search(i, bound)
-            else:
-                near = i + 1 + np.flatnonzero(allowed(points[i + 1 :], sizes[i + 1 :], points[i], int(sizes[i]), bound))
-            for j in near[of[near] != of[i]].tolist():
-                yield (cls[i], cls[j]) if cls[i] < cls[j] else (cls[j], cls[i])
+            near = tree.search(i, bound) if tree else i + 1 + np.flatnonzero(allowed(points[i + 1 :], sizes[i + 1 :], points[i], int(sizes[i]), bound))
+            near = near[of[near] != of[i]]
+            if not whole and len(near) > 1:
+                near = near[np.argsort(-np.minimum(points[near], points[i]).sum(axis=1) / (sizes[near] + sizes[i]), kind="stable")]
+            while len(near):
+                for j in near.tolist() if whole else near[:1].tolist():
+                    yield (cls[i], cls[j]) if cls[i] < cls[j] else (cls[j], cls[i])
+                if whole:
+                    break
+                of[of == of[near[0]]] = of[i]
+                near = near[of[near] != of[i]]
 
     def run(batches):
         cell, held = None, []
 
         def pairs():
             cls, labels, n, p = zip(*held)
-            return leaf(list(cls), list(labels), np.array(n, np.int64), _points(list(p)))
+            return leaf(list(cls), list(labels), np.array(n, np.int64), same_space(list(p)))
 
         out: set = set()
         for batch in batches:
@@ -410,17 +423,20 @@ def components(links: DataFrame) -> DataFrame:
     the neighbours of a node to the smallest one; it ends when no edge changes. Edges
     stay distributed and are written to the shared folder after each round.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = stored(edges, "edges")
-    while True:
+    def held(edges: DataFrame) -> tuple[DataFrame, tuple]:
+        edges = stored(edges.distinct(), "edges")
+        return edges, tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    edges, sign = held(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    while sign[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        new = stored(small, "edges")
-        if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges, new = held(small)
+        if new == sign:
             break
-        edges = new
+        sign = new
     tops = edges.select(F.col("v").alias("cls"), F.col("v").alias("label")).distinct()
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("label")).unionByName(tops)
