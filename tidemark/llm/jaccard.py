@@ -21,6 +21,7 @@ again.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import BROADCAST_IDS, SPACED, column_bytes, mix, shingles, slices, stored, words
 
-#: Least number of a point's coordinates; larger sets have more, about one for each shingle.
+#: Coordinates of the R-tree's boxes, and least number of a point's own; larger sets have more.
 COORDINATES = 64
 #: Filed entries of one bucket, about; buckets grow in number with the input.
 BUCKET_ENTRIES = 1_000_000
@@ -87,13 +88,14 @@ def class_of(own: np.ndarray) -> bytes:
 
 
 def point(own: np.ndarray) -> bytes:
-    """Counts of the set's shingles in groups, a byte each (255: that many or more).
+    """Counts of the set's shingles in groups, a byte each (255: that many or more), deflated.
 
-    The number of groups is the power of two that the set's size reaches, so that
-    a group holds one or two shingles and few differences cancel out.
+    The number of groups is four times the power of two that the set's size reaches, so
+    that few groups hold two shingles and hardly any differences cancel out.
     """
-    groups = max(COORDINATES, 1 << (len(own).bit_length() - 1))
-    return np.minimum(np.bincount((own >> np.uint64(16) & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
+    groups = max(COORDINATES, 4 << (len(own).bit_length() - 1))
+    counts = np.bincount((own >> np.uint64(16) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
 
 
 def _bands(n: int) -> int:
@@ -160,7 +162,8 @@ class CountTree:
     """R-tree over count vectors, packed by sort-tile-recursive order."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+        self.points, self.sizes, self.fine = folded(points), sizes, points
+        points = self.points
         spread = np.argsort(-points.astype(np.float64).var(axis=0), kind="stable")
         order = np.arange(len(points))
         parts, tiles = [order], max(1, round((len(points) / FAN_OUT) ** (1 / 3)))
@@ -188,7 +191,8 @@ class CountTree:
             return nodes
         near = np.concatenate([self.leaves[x] for x in nodes.tolist()])
         near = near[near > i]
-        return near[allowed(self.points[near], self.sizes[near], q, n, bound)]
+        near = near[allowed(self.points[near], self.sizes[near], q, n, bound)]
+        return near[allowed(self.fine[near], self.sizes[near], self.fine[i], n, bound)]
 
 
 def allowed(points: np.ndarray, sizes: np.ndarray, q: np.ndarray, n: int, bound: Bound) -> np.ndarray:
@@ -202,13 +206,20 @@ def allowed(points: np.ndarray, sizes: np.ndarray, q: np.ndarray, n: int, bound:
 
 def same_space(column: list[bytes]) -> np.ndarray:
     """Points in the coarsest of their spaces: groups that differ in a high bit are added up."""
-    least = min(map(len, column))
-    out = np.zeros((len(column), least), np.int32)
-    for i, x in enumerate(column):
-        p = np.frombuffer(x, np.uint8).astype(np.int32)
-        p[p == 255] = 1 << 24  # a full group bounds nothing
-        out[i] = p.reshape(-1, least).sum(axis=0)
-    return out
+    raw = [np.frombuffer(zlib.decompress(x), np.uint8) for x in column]
+    least = min(map(len, raw))
+    if all(len(x) == least for x in raw) and max(int(x.max()) for x in raw) < 255:
+        return np.array(raw)
+    out = np.zeros((len(raw), least), np.int32)
+    for i, x in enumerate(raw):
+        # A full group bounds nothing.
+        out[i] = np.where(x == 255, 1 << 24, x.astype(np.int32)).reshape(-1, least).sum(axis=0)
+    return out.astype(np.uint8) if out.max() < 256 else out
+
+
+def folded(points: np.ndarray) -> np.ndarray:
+    """The points' coordinates added up to ``COORDINATES``: looser bounds, at less work."""
+    return points.reshape(len(points), -1, COORDINATES).sum(axis=1, dtype=np.int32)
 
 
 def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -377,7 +388,7 @@ def _pairs_of(points: DataFrame, found: DataFrame | None, bound: Bound, whole: b
             near = tree.search(i, bound) if tree else i + 1 + np.flatnonzero(allowed(points[i + 1 :], sizes[i + 1 :], points[i], int(sizes[i]), bound))
             near = near[of[near] != of[i]]
             if not whole and len(near) > 1:
-                near = near[np.argsort(-np.minimum(points[near], points[i]).sum(axis=1) / (sizes[near] + sizes[i]), kind="stable")]
+                near = near[np.argsort(-np.minimum(points[near], points[i]).sum(axis=1, dtype=np.int64) / (sizes[near] + sizes[i]), kind="stable")]
             while len(near):
                 for j in near.tolist() if whole else near[:1].tolist():
                     yield (cls[i], cls[j]) if cls[i] < cls[j] else (cls[j], cls[i])
