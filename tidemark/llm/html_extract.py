@@ -197,18 +197,14 @@ def core(root: Node) -> list[Node]:
     threshold = min((x.density for x in path if x.chars), default=0.0)
     if best is body:
         return [body]
-    out, keep = [], {id(x) for x in path}
-
-    def walk(node: Node) -> None:
-        for x in node.children:
-            if isinstance(x, str) or x.noise:
-                continue
-            if x is best or id(x) not in keep and x.density >= threshold and x.tag not in INLINE and x.chars > x.link_chars * 2:
-                out.append(x)
-            elif id(x) in keep:
-                walk(x)
-
-    walk(body)
+    out, keep, todo = [], {id(x) for x in path}, [body]
+    while todo:
+        node = todo.pop()
+        if node is best or id(node) not in keep:
+            out.append(node)
+            continue
+        ways = [x for x in node.children if not isinstance(x, str) and not x.noise]
+        todo.extend(x for x in reversed(ways) if id(x) in keep or x.density >= threshold and x.tag not in INLINE and x.chars > x.link_chars * 2)
     return out
 
 

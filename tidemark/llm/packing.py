@@ -58,7 +58,8 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) ->
         else:
             b, left = int(bins[found]), int(residual[found]) - size
         # The bin moves down to the place of its new residual.
-        to = int(np.searchsorted(residual[:found], left, side="right"))
+        to = int(np.searchsorted(residual[:found], left))
+        to += int(np.searchsorted(bins[to : int(np.searchsorted(residual[:found], left, side="right"))], b))
         residual[to + 1 : found + 1] = residual[to:found].copy()
         bins[to + 1 : found + 1] = bins[to:found].copy()
         residual[to], bins[to] = left, b
