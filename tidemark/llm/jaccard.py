@@ -177,8 +177,8 @@ class CountTree:
             high, small = np.maximum.reduceat(high, cut, axis=0), np.minimum.reduceat(small, cut)
             self.levels.append((high, small))
 
-    def search(self, i: int, bound: Bound) -> np.ndarray:
-        """Positions over ``i`` whose summed minima with point ``i`` allow a link."""
+    def search(self, i: int, bound: Bound, of: np.ndarray) -> np.ndarray:
+        """Positions over ``i``, in another component by ``of``, whose summed minima with point ``i`` allow a link."""
         q, n = self.points[i], int(self.sizes[i])
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
@@ -190,7 +190,7 @@ class CountTree:
         if not len(nodes):
             return nodes
         near = np.concatenate([self.leaves[x] for x in nodes.tolist()])
-        near = near[near > i]
+        near = near[(near > i) & (of[near] != of[i])]
         near = near[allowed(self.points[near], self.sizes[near], q, n, bound)]
         return near[allowed(self.fine[near], self.sizes[near], self.fine[i], n, bound)]
 
@@ -382,11 +382,18 @@ def _pairs_of(points: DataFrame, found: DataFrame | None, bound: Bound, whole: b
 
     def leaf(cls: list, labels: list, sizes: np.ndarray, points: np.ndarray):
         tree = CountTree(points, sizes) if len(cls) >= TREE_FROM else None
+        # Members of one component are passed over before their points are compared.
         numbers = {x: i for i, x in enumerate(dict.fromkeys(labels))}
         of = np.array([numbers[x] for x in labels])
+        apart = len(numbers)
         for i in range(len(cls) - 1):
-            near = tree.search(i, bound) if tree else i + 1 + np.flatnonzero(allowed(points[i + 1 :], sizes[i + 1 :], points[i], int(sizes[i]), bound))
-            near = near[of[near] != of[i]]
+            if apart == 1:
+                break  # one component already: nothing to be found
+            if tree:
+                near = tree.search(i, bound, of)
+            else:
+                near = i + 1 + np.flatnonzero(of[i + 1 :] != of[i])
+                near = near[allowed(points[near], sizes[near], points[i], int(sizes[i]), bound)]
             if not whole and len(near) > 1:
                 near = near[np.argsort(-np.minimum(points[near], points[i]).sum(axis=1, dtype=np.int64) / (sizes[near] + sizes[i]), kind="stable")]
             while len(near):
@@ -395,6 +402,7 @@ def _pairs_of(points: DataFrame, found: DataFrame | None, bound: Bound, whole: b
                 if whole:
                     break
                 of[of == of[near[0]]] = of[i]
+                apart -= 1
                 near = near[of[near] != of[i]]
 
     def run(batches):
