@@ -217,7 +217,7 @@ def test_tree():
     tree = jaccard.CountTree(points, sizes)
     for i in range(0, 599, 37):
         want = i + 1 + np.flatnonzero(jaccard.allowed(points[i + 1 :], sizes[i + 1 :], points[i], int(sizes[i]), bound))
-        assert sorted(tree.search(i, bound).tolist()) == want.tolist()
+        assert sorted(tree.search(i, bound, np.arange(len(sizes))).tolist()) == want.tolist()
         for j in range(i + 1, 600):
             if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j])):
                 assert j in want
@@ -295,3 +295,11 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES:
         empty = corpus_pipeline.stored(stage(spark, empty, SF), name)
     assert empty.count() == 0
+
+
+def test_components_merged(spark):
+    name = lambda pairs: spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in pairs], "a binary, b binary")
+    first, more = [(1, 2), (2, 3), (4, 5), (6, 7), (8, 9)], [(3, 5), (7, 20), (21, 22), (5, 6)]
+    rows = lambda df: sorted((r["cls"][0], r["label"][0]) for r in df.collect())
+    got = rows(jaccard.merged(jaccard.components(name(first)), name(more)))
+    assert got == rows(jaccard.components(name(first + more)))

@@ -238,13 +238,14 @@ def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text",
     buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((0.27 * filed["n"] + 4 * filed["c"]) / BUCKET_ENTRIES))
     leaves = _leaves(documents, text, k, bound, buckets)
     points = stored(leaves.join(classes.select("cls", "n", "point"), "cls"), "points")
-    links = found = None
+    found = None
     for whole in (False, True):
         pairs = stored(_pairs_of(points, found, bound, whole), "pairs")
         new = stored(_verified(pairs, _member_sets(documents, key, text, k, pairs, classes), bound), "links")
-        if found is None or not new.isEmpty():
-            links = links.unionByName(new) if links else new
-            found = components(links)
+        if found is None:
+            found = components(new)
+        elif not new.isEmpty():
+            found = merged(found, new)
     # A class's component is named by the smallest key in any of its classes.
     named = found.join(classes.select("cls", "rep"), "cls")
     smallest = named.groupBy("label").agg(F.min("rep").alias("least"))
@@ -378,7 +379,9 @@ def _pairs_of(points: DataFrame, found: DataFrame | None, bound: Bound, whole: b
         rows = points.join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         open_ = rows.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell")
         rows = rows.join(open_, "cell")
-    rows = rows.select("cell", "cls", "label", "n", "point").repartition("cell").sortWithinPartitions("cell", "cls")
+    # By number: leaves are few bytes but much work, so that small partitions must not be merged.
+    number = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("cell", "cls", "label", "n", "point").repartition(number, "cell").sortWithinPartitions("cell", "cls")
 
     def leaf(cls: list, labels: list, sizes: np.ndarray, points: np.ndarray):
         tree = CountTree(points, sizes) if len(cls) >= TREE_FROM else None
@@ -459,3 +462,12 @@ def components(links: DataFrame) -> DataFrame:
         sign = new
     tops = edges.select(F.col("v").alias("cls"), F.col("v").alias("label")).distinct()
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("label")).unionByName(tops)
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` once more links join its components: only their labels are looked at."""
+    ends = [found.select(F.col("cls").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b")]
+    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    moved = components(stored(between, "between"))
+    old = found.join(moved.select(F.col("cls").alias("label"), F.col("label").alias("top")), "label", "left").select("cls", F.coalesce("top", "label").alias("label"))
+    return old.unionByName(moved.join(found, "cls", "left_anti"))
