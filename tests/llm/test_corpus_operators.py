@@ -303,3 +303,12 @@ def test_components_merged(spark):
     rows = lambda df: sorted((r["cls"][0], r["label"][0]) for r in df.collect())
     got = rows(jaccard.merged(jaccard.components(name(first)), name(more)))
     assert got == rows(jaccard.components(name(first + more)))
+
+
+def test_groups_of_a_null_key(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = base[:30] + ["x"] + base[31:]
+    rows = [(None, " ".join(near)), (4, " ".join(base)), (9, " ".join(base)), (7, None), (None, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.ngram_groups(df).orderBy("doc_id", "n_shingles").collect()
+    assert [tuple(r) for r in got] == [(None, 1, None), (None, 57, 4), (4, 57, 4), (7, 0, 7), (9, 57, 4)]

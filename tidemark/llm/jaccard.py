@@ -14,8 +14,9 @@ d = (1 - t) / (1 + t) * (|A| + |B|) shingles, so the points' L1 distance is at m
 
 Copies form one class at once, and leaves with the same members one leaf. Each leaf first
 emits a spanning forest of its surviving pairs, not all of them; what those verify as
-linked makes components, and only pairs between different components are looked at
-again.
+linked makes components, and only the forests' trees of three or more members that lie
+in different components are looked at again. Points are made of the classes that are in
+a leaf, and travel only to leaves that are searched.
 """
 
 from __future__ import annotations
@@ -233,15 +234,22 @@ def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text",
     """
     bound = Bound(num, den)
     sets = stored(_sets(documents, key, text, k), "sets")
-    classes = stored(sets.where("n > 0").groupBy("cls").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point")), "classes")
+    classes = stored(sets.where("n > 0").groupBy("cls").agg(F.min("key").alias("rep"), F.first("n").alias("n")), "classes")
     filed = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("c")).first()
     buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((0.27 * filed["n"] + 4 * filed["c"]) / BUCKET_ENTRIES))
-    leaves = _leaves(documents, text, k, bound, buckets)
-    points = stored(leaves.join(classes.select("cls", "n", "point"), "cls"), "points")
-    found = None
+    leaves = stored(_leaves(documents, text, k, bound, buckets), "leaves")
+
+    def of_classes(ids: DataFrame, what, name: str) -> DataFrame:
+        return _of_classes(documents, key, text, k, ids.join(classes, "cls").select("rep"), what, name)
+
+    points, found = of_classes(leaves.select("cls").distinct(), point, "point").join(classes.select("cls", "n"), "cls"), None
     for whole in (False, True):
-        pairs = stored(_pairs_of(points, found, bound, whole), "pairs")
-        new = stored(_verified(pairs, _member_sets(documents, key, text, k, pairs, classes), bound), "links")
+        rows = leaves.withColumn("label", F.col("cls")) if found is None else _open(leaves, found)
+        seen = stored(_pairs_of(rows, points, bound, whole), "seen")
+        leaves = seen.where("b is null").select("cell", F.col("a").alias("cls")).distinct()
+        pairs = stored(seen.where("b is not null").select("a", "b").distinct(), "pairs")
+        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+        new = stored(_verified(pairs, of_classes(ends, np.ndarray.tobytes, "members"), bound), "links")
         if found is None:
             found = components(new)
         elif not new.isEmpty():
@@ -255,24 +263,29 @@ def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _sets(documents: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key, n, cls and point of every row (no class without words)."""
-    schema = T.StructType([T.StructField("key", documents.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("point", T.BinaryType())])
+    """key, n and cls of every row (no class without words)."""
+    schema = T.StructType([T.StructField("key", documents.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
-            n, cls, points = [], [], []
+            n, cls = [], []
             for _, own in shingle_sets(batch.column(1), k):
                 n.append(len(own))
                 cls.append(class_of(own) if len(own) else None)
-                points.append(point(own) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(points, pa.binary())], ["key", "n", "cls", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary())], ["key", "n", "cls"])
 
     return documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+_CLASS = np.dtype([("lo", "<u8"), ("hi", "<u4")])
 _ENTRY = np.dtype([("cell", "<u4"), ("lo", "<u8"), ("hi", "<u4")])
 
 
+def _member_hash(lo: np.ndarray) -> np.ndarray:
+    """A cell is named by its members: the sum of their hashes, 64 bits."""
+    return mix(lo ^ np.uint64(0x8EBC6AF09C88C6E3))
+
+
 def _leaves(documents: DataFrame, text: str, k: int, bound: Bound, buckets: int) -> DataFrame:
     """cell and cls of all cells of two classes or more; cells of the same classes are one.
 
@@ -292,7 +305,7 @@ def _leaves(documents: DataFrame, text: str, k: int, bound: Bound, buckets: int)
                 continue
             each, packed = np.concatenate(hashes), np.zeros(total, _ENTRY)
             packed["cell"] = each & np.uint64(0xFFFFFFFF)
-            who = np.frombuffer(b"".join(owners), np.dtype([("lo", "<u8"), ("hi", "<u4")]))
+            who = np.frombuffer(b"".join(owners), _CLASS)
             of = np.repeat(np.arange(len(owners)), [len(h) for h in hashes])
             packed["lo"], packed["hi"] = who["lo"][of], who["hi"][of]
             bucket = ((each >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -308,8 +321,7 @@ def _leaves(documents: DataFrame, text: str, k: int, bound: Bound, buckets: int)
         begin = np.flatnonzero(np.concatenate([[True], every["cell"][1:] != every["cell"][:-1]]))
         size = np.diff(np.append(begin, len(every)))
         shared = np.repeat(size > 1, size)
-        # A cell is named by its members, 64 bits of a sum of their hashes.
-        name = np.add.reduceat(mix(every["lo"] ^ np.uint64(0x8EBC6AF09C88C6E3)), begin)
+        name = np.add.reduceat(_member_hash(every["lo"]), begin)
         every, cell = every[shared], np.repeat(name, size)[shared].astype(np.int64)
         return pa.table({"cell": pa.array(cell), "cls": pa.array([a + b for a, b in zip(_split(every["lo"], 8), _split(every["hi"], 4))], pa.binary())})
 
@@ -322,22 +334,29 @@ def _split(column: np.ndarray, width: int) -> list[bytes]:
     return [raw[i : i + width] for i in range(0, len(raw), width)]
 
 
-def _member_sets(documents: DataFrame, key: str, text: str, k: int, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls and its whole set (sorted 64-bit hashes) of the classes in pairs."""
-    ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = stored(ids.join(classes, "cls").select("rep"), "wanted")
+def _of_classes(documents: DataFrame, key: str, text: str, k: int, reps: DataFrame, what, name: str) -> DataFrame:
+    """cls and ``name``, the bytes ``what`` makes of its set, of the classes that ``reps`` have.
+
+    Only the rows with these keys are read into Python; a key of several texts brings
+    classes that nobody asked for as well.
+    """
+    wanted = stored(reps, "wanted")
     ids = wanted.distinct()
     few = wanted.count() <= BROADCAST_IDS
-    rows = documents.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "rep", "left_semi")
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = rows.join(F.broadcast(ids) if few else ids, F.col("key").eqNullSafe(F.col("rep")), "left_semi")
 
     def run(batches):
         for batch in batches:
-            found = [(class_of(own), own.tobytes()) for _, own in shingle_sets(batch.column(0), k) if len(own)]
+            seen: dict = {}
+            for _, own in shingle_sets(batch.column(0), k):
+                if len(own) and (cls := class_of(own)) not in seen:
+                    seen[cls] = what(own)
+            found = list(seen.items())
             for lo in range(0, len(found), 512):
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found[lo : lo + 512]], pa.binary()) for i in (0, 1)], ["cls", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found[lo : lo + 512]], pa.binary()) for i in (0, 1)], ["cls", name])
 
-    # A key with several texts may bring classes that nobody asked for, or one class twice.
-    return stored(rows.select("text").mapInArrow(run, "cls binary, members binary").groupBy("cls").agg(F.first("members").alias("members")), "members")
+    return stored(rows.select("text").mapInArrow(run, f"cls binary, {name} binary").groupBy("cls").agg(F.first(name).alias(name)), name)
 
 
 def _verified(near: DataFrame, held: DataFrame, bound: Bound) -> DataFrame:
@@ -368,20 +387,23 @@ def _verified(near: DataFrame, held: DataFrame, bound: Bound) -> DataFrame:
     return together.mapInArrow(compare, "a binary, b binary")
 
 
-def _pairs_of(points: DataFrame, found: DataFrame | None, bound: Bound, whole: bool) -> DataFrame:
-    """Pairs of leaves' members, not in one component, whose points allow a link.
+def _open(leaves: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the leaves whose members are not all in one component, with their labels."""
+    rows = leaves.join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    open_ = rows.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell")
+    return stored(rows.join(open_, "cell"), "open")
+
+
+def _pairs_of(rows: DataFrame, points: DataFrame, bound: Bound, whole: bool) -> DataFrame:
+    """Pairs (a, b) of leaves' members, with other labels, whose points allow a link.
 
-    Not ``whole``: of each leaf a spanning forest of those pairs, nearest first.
+    Not ``whole``: of each leaf a spanning forest of those pairs, nearest first. Then the
+    members of each tree of three or more follow, as (a, null, tree): only in these are
+    there pairs left that allow a link.
     """
-    if found is None:
-        rows = points.withColumn("label", F.col("cls"))
-    else:
-        rows = points.join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        open_ = rows.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("cell")
-        rows = rows.join(open_, "cell")
     # By number: leaves are few bytes but much work, so that small partitions must not be merged.
     number = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("cell", "cls", "label", "n", "point").repartition(number, "cell").sortWithinPartitions("cell", "cls")
+    rows = rows.join(points, "cls").select("cell", "cls", "label", "n", "point").repartition(number, "cell").sortWithinPartitions("cell", "cls")
 
     def leaf(cls: list, labels: list, sizes: np.ndarray, points: np.ndarray):
         tree = CountTree(points, sizes) if len(cls) >= TREE_FROM else None
@@ -401,12 +423,18 @@ def _pairs_of(points: DataFrame, found: DataFrame | None, bound: Bound, whole: b
                 near = near[np.argsort(-np.minimum(points[near], points[i]).sum(axis=1, dtype=np.int64) / (sizes[near] + sizes[i]), kind="stable")]
             while len(near):
                 for j in near.tolist() if whole else near[:1].tolist():
-                    yield (cls[i], cls[j]) if cls[i] < cls[j] else (cls[j], cls[i])
+                    yield min(cls[i], cls[j]), max(cls[i], cls[j]), None
                 if whole:
                     break
                 of[of == of[near[0]]] = of[i]
                 apart -= 1
                 near = near[of[near] != of[i]]
+        if not whole:
+            _, at, size = np.unique(of, return_inverse=True, return_counts=True)
+            names = np.zeros(len(size), np.uint64)
+            np.add.at(names, at, _member_hash(np.frombuffer(b"".join(cls), _CLASS)["lo"]))
+            for i in np.flatnonzero(size[at] > 2).tolist():
+                yield cls[i], None, int(names[at[i]].astype(np.int64))
 
     def run(batches):
         cell, held = None, []
@@ -422,20 +450,19 @@ def _pairs_of(points: DataFrame, found: DataFrame | None, bound: Bound, whole: b
                     out.update(pairs())
                     held = []
                     if len(out) >= 50_000:
-                        yield _pairs(out)
+                        yield _seen(out)
                         out = set()
                 cell = c
                 held.append(row)
         if held:
             out.update(pairs())
-        yield _pairs(out)
+        yield _seen(out)
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(run, "a binary, b binary, cell long")
 
 
-def _pairs(out: set) -> pa.RecordBatch:
-    rows = sorted(out)
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.binary()) for i in (0, 1)], ["a", "b"])
+def _seen(out: set) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["a", "b", "cell"])
 
 
 def components(links: DataFrame) -> DataFrame:
