@@ -44,6 +44,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished plans: Spark deletes them once the driver's
+    JVM has collected what refers to them, which by itself may be half an hour later."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if column.null_count:

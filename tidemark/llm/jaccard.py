@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_IDS, SPACED, column_bytes, mix, shingles, slices, stored, words
+from .common import BROADCAST_IDS, SPACED, column_bytes, mix, released, shingles, slices, stored, words
 
 #: Coordinates of the R-tree's boxes, and least number of a point's own; larger sets have more.
 COORDINATES = 64
@@ -238,6 +238,7 @@ def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text",
     filed = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("c")).first()
     buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((0.27 * filed["n"] + 4 * filed["c"]) / BUCKET_ENTRIES))
     leaves = stored(_leaves(documents, text, k, bound, buckets), "leaves")
+    released(documents.sparkSession)
 
     def of_classes(ids: DataFrame, what, name: str) -> DataFrame:
         return _of_classes(documents, key, text, k, ids.join(classes, "cls").select("rep"), what, name)
@@ -246,7 +247,8 @@ def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text",
     for whole in (False, True):
         rows = leaves.withColumn("label", F.col("cls")) if found is None else _open(leaves, found)
         seen = stored(_pairs_of(rows, points, bound, whole), "seen")
-        leaves = seen.where("b is null").select("cell", F.col("a").alias("cls")).distinct()
+        released(documents.sparkSession)
+        leaves = seen.where("b is null").select("cell", F.col("cell").alias("home"), F.col("a").alias("cls")).distinct()
         pairs = stored(seen.where("b is not null").select("a", "b").distinct(), "pairs")
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
         new = stored(_verified(pairs, of_classes(ends, np.ndarray.tobytes, "members"), bound), "links")
@@ -287,8 +289,10 @@ def _member_hash(lo: np.ndarray) -> np.ndarray:
 
 
 def _leaves(documents: DataFrame, text: str, k: int, bound: Bound, buckets: int) -> DataFrame:
-    """cell and cls of all cells of two classes or more; cells of the same classes are one.
+    """cell, home and cls of all cells of two classes or more; cells of the same classes are one.
 
+    Leaves of one home are searched by one task: small ones by their smallest member,
+    so that the many leaves of a group of near copies get a point once; large ones alone.
     Entries travel packed, one row for a batch and bucket; a class that has several
     rows in a batch is filed once for it.
     """
@@ -322,11 +326,12 @@ def _leaves(documents: DataFrame, text: str, k: int, bound: Bound, buckets: int)
         size = np.diff(np.append(begin, len(every)))
         shared = np.repeat(size > 1, size)
         name = np.add.reduceat(_member_hash(every["lo"]), begin)
-        every, cell = every[shared], np.repeat(name, size)[shared].astype(np.int64)
-        return pa.table({"cell": pa.array(cell), "cls": pa.array([a + b for a, b in zip(_split(every["lo"], 8), _split(every["hi"], 4))], pa.binary())})
+        home = np.where(size < TREE_FROM, np.minimum.reduceat(every["lo"], begin), name)
+        every, cell, home = every[shared], *(np.repeat(x, size)[shared].astype(np.int64) for x in (name, home))
+        return pa.table({"cell": pa.array(cell), "home": pa.array(home), "cls": pa.array([a + b for a, b in zip(_split(every["lo"], 8), _split(every["hi"], 4))], pa.binary())})
 
     packed = documents.select(F.col(text).alias("text")).mapInArrow(file, "bucket long, entries binary")
-    return packed.groupBy("bucket").applyInArrow(gather, "cell long, cls binary").distinct()
+    return packed.groupBy("bucket").applyInArrow(gather, "cell long, home long, cls binary").distinct()
 
 
 def _split(column: np.ndarray, width: int) -> list[bytes]:
@@ -403,7 +408,7 @@ def _pairs_of(rows: DataFrame, points: DataFrame, bound: Bound, whole: bool) ->
     """
     # By number: leaves are few bytes but much work, so that small partitions must not be merged.
     number = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.join(points, "cls").select("cell", "cls", "label", "n", "point").repartition(number, "cell").sortWithinPartitions("cell", "cls")
+    rows = rows.join(points, "cls").select("home", "cell", "cls", "label", "n", "point").repartition(number, "home").sortWithinPartitions("cell", "cls").drop("home")
 
     def leaf(cls: list, labels: list, sizes: np.ndarray, points: np.ndarray):
         tree = CountTree(points, sizes) if len(cls) >= TREE_FROM else None
