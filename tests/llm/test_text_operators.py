@@ -35,6 +35,18 @@ def test_extraction(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_extraction_by_density_beside_articles():
+    story = lambda word, n: "".join(f"<p>{(word + ' ') * (30 + 7 * i)}</p>" for i in range(n))
+    cards = "".join(f"<article><h3>Teaser {i}</h3><p>Short words to click on.</p></article>" for i in range(4))
+    for page in (f"<body><div>{story('story', 5)}</div>{cards}</body>", f"<body>{cards}<main><div>{story('story', 5)}</div></main></body>", f"<body><main>{cards}<div>{story('story', 5)}</div></main></body>"):
+        got = html_extract.main_text(page)
+        assert got.split("\n") == [("story " * (30 + 7 * i)).strip() for i in range(5)]
+    for a, b in ((5, 5), (5, 3), (3, 5), (4, 2)):
+        parts = set(html_extract.main_text(f"<body><article>{story('one', a)}</article><article>{story('other', b)}</article>{cards}</body>").split())
+        assert parts == {"one", "other"}
+    assert html_extract.main_text(f"<body><article><h1>Head</h1><div>{story('story', 3)}</div></article>{cards}</body>").startswith("Head\nstory")
+
+
 def test_sharding(spark):
     rng = random.Random(2)
     rows = [(rng.choice([None, *range(400)]), rng.choice([0, 16, 100, 5000])) for _ in range(900)]

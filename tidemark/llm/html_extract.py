@@ -9,7 +9,8 @@ LT link tags give the link-adjusted characters per tag
 is a node's density sum. The subtree with the largest sum is the core; the smallest
 D on its path to the body is the threshold that siblings on this path must reach to
 belong to the text too (Sun, Song, Liao: DOM based content extraction via text
-density, SIGIR 2011).
+density, SIGIR 2011). This runs over the whole body of every page. An article or main
+part is the core only if the densest subtree lies in it and it is as dense as the body.
 
 What a page marks as something else (navigation, adverts, forms, comments, ...)
 is left out before any density is computed.
@@ -46,6 +47,14 @@ TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
+#: Tag of text beside blocks.
+RUN = "#text"
+#: Share of the threshold for siblings. The paper's pages hold their navigation, which lowers the threshold; here it is gone.
+SIBLING = 0.5
+#: Share of the core's density sum that another article or section beside one needs, if it is less dense.
+PART = 0.15
+
+
 class Node:
     __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
@@ -175,28 +184,67 @@ def _density(node: Node, body: Node) -> float:
     return c / t * math.log(max(1.0, c * t / (lc * lt))) / math.log(max(base, 1.0 + 1e-9)) if base > 1.0 else 0.0
 
 
+def _runs(root: Node) -> None:
+    """Text beside blocks becomes a child of its own, so that it has a density too."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(x for x in node.children if not isinstance(x, str) and not x.noise)
+    holds: set[int] = set()  # nodes with a block in them
+    for node in reversed(order):
+        if node.parent is not None and (node.tag not in INLINE or id(node) in holds):
+            holds.add(id(node.parent))
+    for node in order:
+        if id(node) not in holds:
+            continue
+        out: list[Node | str] = []
+        for x in node.children:
+            if isinstance(x, str) or x.tag in INLINE and not x.noise and id(x) not in holds:
+                if not out or isinstance(out[-1], str) or out[-1].tag != RUN:
+                    out.append(Node(RUN, node))
+                out[-1].children.append(x)
+                if not isinstance(x, str):
+                    x.parent = out[-1]
+            else:
+                out.append(x)
+        node.children = out
+
+
 def core(root: Node) -> list[Node]:
     """The subtrees, in page order, that hold the page's main text."""
+    _runs(root)
     order = _measure(root)
     body = next((x for x in reversed(order) if x.tag == "body"), root)
     for node in order:
         node.density = _density(node, body)
     for node in order:
-        node.total = sum(x.density for x in node.children if not isinstance(x, str) and not x.noise)
-        if any(isinstance(x, str) and x.strip() for x in node.children):
-            node.total += node.density
-    within = {id(x) for x in order}
-    marked = [x for x in order if x.tag in ("article", "main") and x.chars]
-    if marked:  # the page names its main part: the densities choose among those
-        chosen = max(marked, key=lambda x: (x.total, x.chars))
-        outer = [x for x in _path(chosen) if x.tag in ("article", "main") and id(x) in within]
-        return [outer[-1]] if outer[-1].tag == "main" and sum(x.tag == "article" for x in marked) != 1 else [chosen]
-    inside = {id(x) for x in order if any(y is body for y in _path(x))}
-    best = max((x for x in reversed(order) if id(x) in inside), key=lambda x: x.total, default=body)
-    path = [x for x in _path(best) if id(x) in inside]
+        ways = [x for x in node.children if not isinstance(x, str) and not x.noise and x.tag not in INLINE]
+        # Inline elements are part of their block's text, not blocks that add to it.
+        node.total = sum(x.density for x in ways) + sum(x.total for x in node.children if not isinstance(x, str) and not x.noise and x.tag in INLINE) if ways or node.tag in INLINE else node.density
+    inside, todo = [], [body]
+    while todo:
+        node = todo.pop()
+        inside.append(node)
+        todo.extend(x for x in reversed(node.children) if not isinstance(x, str) and not x.noise)
+    best = max(inside, key=lambda x: (x.total, x.tag in ("article", "main"), x.chars))
+    path = list(_path(best))
+    path = path[: next(i for i, x in enumerate(path) if x is body) + 1]
     threshold = min((x.density for x in path if x.chars), default=0.0)
+    # The article around the densest part, with its heading, if it is as dense as the page; a main part only if it holds no other articles.
+    articles = {}
+    for x in order:
+        articles[id(x)] = (x.tag == "article" and x.chars > 0) + sum(articles[id(y)] for y in x.children if not isinstance(y, str) and not y.noise)
+    own = articles[id(best)]
+    named = next((x for x in path if x.density >= body.density and (x.tag == "article" or x.tag == "main" and articles[id(x)] == own)), None)
+    most, best = best.total, named or best
     if best is body:
         return [body]
+    sums = {}  # largest density sum in each subtree
+    for x in order:
+        sums[id(x)] = max([x.total, *(sums[id(y)] for y in x.children if not isinstance(y, str) and not y.noise)])
+    parts = {(id(x.parent), x.tag) for x in path if x is not body and x.tag in ("article", "section")}
+    belongs = lambda x: x.density >= threshold * SIBLING or (id(x.parent), x.tag) in parts and sums[id(x)] >= most * PART
     out, keep, todo = [], {id(x) for x in path}, [body]
     while todo:
         node = todo.pop()
@@ -204,7 +252,7 @@ def core(root: Node) -> list[Node]:
             out.append(node)
             continue
         ways = [x for x in node.children if not isinstance(x, str) and not x.noise]
-        todo.extend(x for x in reversed(ways) if id(x) in keep or x.density >= threshold and x.tag not in INLINE and x.chars > x.link_chars * 2)
+        todo.extend(x for x in reversed(ways) if id(x) in keep or x.chars > x.link_chars * 2 and belongs(x))
     return out
 
 
