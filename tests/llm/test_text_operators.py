@@ -154,6 +154,17 @@ def test_licences(spark):
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan.replace("mapInArrow", "")
 
 
+def test_every_licence_template_is_classified(spark):
+    known = [(f, t) for f, lines in licences.templates().items() for t in lines]
+    assert all(re.search(licences.ANCHOR, t) and re.search(licences.ANCHOR, licences.ascii_lower(t)) for _, t in known)
+    rng = random.Random(9)
+    for _, t in known:  # and so do lines with half of a template's word pairs
+        pairs = sorted(set(licences.zip_pairs(licences.words_of(t))))
+        assert re.search(licences.ANCHOR, " | ".join(x.replace(" ", ",  ") for x in rng.sample(pairs, -(-len(pairs) // 2))))
+    got = {r["doc_id"]: r["licences"] for r in licences.find_licences(docs(spark, [t for _, t in known])).collect()}
+    assert all([x["family"] for x in got[i]] == [f] for i, (f, _) in enumerate(known))
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     words = ["w" + chr(97 + i) + chr(97 + j) for i in range(12) for j in range(10)]

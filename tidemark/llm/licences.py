@@ -13,8 +13,10 @@ the hash (xxhash64, seed 42) is the one that Spark computes.
 from __future__ import annotations
 
 import json
+import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import product
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 
 #: Hashed features.
 FEATURES = 4096
-#: Paragraphs are lines; those without any of these words can't be classified and aren't looked at.
-ANCHOR = r"(?i)licen[cs]|copyright|rights reserved|public domain|warrant|redistribut|permission|creativecommons|spdx|\bcc[ -](by|0)"
+#: Words of licences. ANCHOR below adds word pairs of the templates to them.
+ANCHOR_WORDS = r"licen[cs]|copyright|rights reserved|public domain|warrant|redistribut|permission|creativecommons|spdx|\bcc[ -](by|0)"
+#: Words so common that a pair of two of them is the last to become an anchor.
+COMMON = frozenset("a all an and any are as at be but by can do for from has have if in into is it its may must no not of on one or other shall should so such that the this to under use used was were which will with without you your 0 1 2 3 4".split())
 #: Word pairs of a paragraph that a template has to share.
 CONFIRM = 0.5
 
@@ -104,6 +108,36 @@ def templates() -> dict[str, list[str]]:
     return out
 
 
+def anchor() -> str:
+    """The expression that a line must match to be classified, from the templates.
+
+    It has so many word pairs of each template that no line with a share of CONFIRM of
+    its pairs is without one: every template matches, and every line that holds one.
+    """
+    need: list[tuple[set[str], int]] = []
+    word = re.compile(f"(?i){ANCHOR_WORDS}")
+    for line in [*(t for lines in templates().values() for t in lines), *(n for names in NAMES.values() for n in names)]:
+        pairs = set(zip_pairs(words_of(line)))
+        free = {p for p in pairs if not word.search(p.replace(" ", ", "))}  # whatever is between the words
+        # Pairs that may stay without an anchor: fewer than make up the share.
+        more = len(free) - (math.ceil(len(pairs) * CONFIRM) - 1)
+        if pairs and more > 0:
+            need.append((free, more))
+    chosen: set[str] = set()
+    while need := [(free - chosen, more - len(free & chosen)) for free, more in need if more > len(free & chosen)]:
+        gain = Counter(p for free, _ in need for p in free)
+        chosen.add(min(gain, key=lambda p: (set(p.split()) <= COMMON, -gain[p], p)))
+    by: dict[str, list[str]] = {}
+    for p in sorted(chosen):
+        a, b = p.split()
+        by.setdefault(a, []).append(re.escape(b))
+    first: dict[str, list[str]] = {}
+    for a, b in by.items():
+        first.setdefault(a[0], []).append(f"{re.escape(a[1:])}[^0-9a-zA-Z]+(?:{'|'.join(b)})")
+    pairs = "|".join(f"{re.escape(c)}(?:{'|'.join(x)})" for c, x in first.items())
+    return f"(?i){ANCHOR_WORDS}|(?<![0-9a-zA-Z])(?:{pairs})(?![0-9a-zA-Z])"
+
+
 def examples(seed: int = 7) -> list[tuple[str, str]]:
     """(text, family) for training: templates, some with words around them, and what is none."""
     rng, known = random.Random(seed), templates()
@@ -184,7 +218,7 @@ def find_licences(documents: DataFrame, text: str = "text") -> DataFrame:
 
     paragraph (its number among the text's lines, from 0), family, probability, overlap
     (largest share of its word pairs in a template of the family) and confirmed
-    (overlap of CONFIRM or more). Lines without an anchor word and lines classified as
+    (overlap of CONFIRM or more). Lines that don't match ANCHOR and lines classified as
     unknown are left out; a null or empty text gives an empty array. SQL functions
     only, rows are independent: no exchange. A column named licences is replaced.
     """
@@ -219,3 +253,7 @@ def find_licences(documents: DataFrame, text: str = "text") -> DataFrame:
 
 def zip_pairs(words: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+#: Paragraphs are lines; those that don't match hold no template and aren't looked at.
+ANCHOR = anchor()
