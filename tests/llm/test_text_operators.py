@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_extract, licences, media, secrets, sharding, toxicity
+from tidemark.llm import html_extract, licences, media, queries, secrets, sharding, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -165,6 +165,27 @@ def test_every_licence_template_is_classified(spark):
     assert all([x["family"] for x in got[i]] == [f] for i, (f, _) in enumerate(known))
 
 
+def test_words_around_a_licence_do_not_unconfirm_it(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bdfgklmnrst") + rng.choice("aeiou") for _ in range(3))
+    run = lambda n: " ".join(word() for _ in range(n))
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    want = {
+        "Copyright (c) 2023 Foo Bar GmbH. All rights reserved.": "reserved",
+        "Copyright 2024 Acme Widgets Corporation and contributors. All rights reserved.": "reserved",
+        f"{mit} See the project page for more.": "mit",
+        f"{run(30)} {mit} {run(30)}": "mit",
+        f"{run(600)} {mit} {run(700)}": "mit",
+        f"{run(300)} {mit} {run(300)} {apache} {run(90)}": "apache,mit",
+        "He said the license was released under the terms of the deal.": "",
+        run(500): "",
+    }
+    docs(spark, list(want)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op9_license_scans(spark, str(tmp_path)).collect()}
+    assert [got[i]["families"] for i in range(len(want))] == list(want.values())
+    assert got[5]["paragraphs"] == "0:apache,0:mit" and got[4]["n_confirmed"] == 1
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     words = ["w" + chr(97 + i) + chr(97 + j) for i in range(12) for j in range(10)]

@@ -2,8 +2,10 @@
 
 A sparse logistic regression over hashed word n-grams (one to three words, presence)
 gives each candidate paragraph a family or "unknown"; its temperature and threshold are
-set on texts held out of training. A prediction is confirmed by comparison with the
-family's templates: a share of the paragraph's word pairs has to occur in one of them.
+set on texts held out of training. Longer lines are classified in windows. A prediction
+is compared with the family's templates in two ways: the share of the paragraph's word
+pairs that one of them has, and the share of a template's pairs that the paragraph holds,
+which words around a licence don't lessen.
 
 Training happens on the driver over the fixed texts below (some hundred short
 paragraphs). Scoring uses SQL functions only: the weights are an array literal, and
@@ -32,8 +34,10 @@ FEATURES = 4096
 ANCHOR_WORDS = r"licen[cs]|copyright|rights reserved|public domain|warrant|redistribut|permission|creativecommons|spdx|\bcc[ -](by|0)"
 #: Words so common that a pair of two of them is the last to become an anchor.
 COMMON = frozenset("a all an and any are as at be but by can do for from has have if in into is it its may must no not of on one or other shall should so such that the this to under use used was were which will with without you your 0 1 2 3 4".split())
-#: Word pairs of a paragraph that a template has to share.
+#: Word pairs of a paragraph that a template has to share, or of a template that a paragraph has to hold.
 CONFIRM = 0.5
+#: Words that are classified at once, and words from one such window of a longer line to the next.
+WINDOW, STEP = 64, 32
 
 # Names of licences as they are written, and lines from their notices.
 NAMES = {
@@ -214,11 +218,13 @@ def _grams(words, n: int):
 
 
 def find_licences(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with ``licences``: one struct for each paragraph of a known family.
+    """``documents`` with ``licences``: one struct for each paragraph and known family in it.
 
     paragraph (its number among the text's lines, from 0), family, probability, overlap
-    (largest share of its word pairs in a template of the family) and confirmed
-    (overlap of CONFIRM or more). Lines that don't match ANCHOR and lines classified as
+    (largest share of its word pairs in a template of the family), confirmed (overlap of
+    CONFIRM or more) and contained (largest share of a template's word pairs that it holds,
+    of templates of which it holds a pair that no other family has). For a line of more than WINDOW words
+    they are those of the family's best window. Lines that don't match ANCHOR and lines classified as
     unknown are left out; a null or empty text gives an empty array. SQL functions
     only, rows are independent: no exchange. A column named licences is replaced.
     """
@@ -229,12 +235,17 @@ def find_licences(documents: DataFrame, text: str = "text") -> DataFrame:
     known = templates()
     pairs = [[sorted(set(zip_pairs(words_of(t)))) for t in known.get(f, [])] for f in names]
     compared = _literal(pairs, "array<array<array<string>>>")
+    families = Counter(p for f in pairs for p in {p for t in f for p in t})
+    alone = _literal([[[p for p in t if families[p] == 1] for t in f] for f in pairs], "array<array<array<string>>>")
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     lines = F.transform(F.split(F.coalesce(lower, F.lit("")), "\n", -1), lambda x, i: F.struct(i.cast("int").alias("paragraph"), x.alias("line")))
     lines = F.filter(lines, lambda x: x["line"].rlike(ANCHOR))
     split = lambda x: F.filter(F.split(x, "[^0-9a-z\\x{80}-\\x{10ffff}]+"), lambda w: F.length(w) > 0)
     # Each step is a column of its own: an expression used twice would be computed twice.
     step = documents.drop("licences").withColumn("licences", F.when(F.col(text).rlike(ANCHOR), F.transform(lines, lambda x: F.struct(x["paragraph"].alias("paragraph"), split(x["line"]).alias("words")))))
+    starts = lambda words: F.sequence(F.lit(0), F.floor((F.greatest(F.lit(1), F.size(words) - WINDOW + STEP) - 1) / STEP).cast("int"))
+    step = step.withColumn("licences", F.flatten(F.transform("licences", lambda x: F.transform(starts(x["words"]), lambda i: F.struct(x["paragraph"].alias("paragraph"), (F.size(x["words"]) > WINDOW).alias("cut"), F.slice(x["words"], i * STEP + 1, WINDOW).alias("words"))))))
+    step = step.withColumn("licences", F.filter("licences", lambda x: ~x["cut"] | F.array_join(x["words"], " ").rlike(ANCHOR)))
     at = lambda words: F.array_distinct(F.transform(F.concat(_grams(words, 1), _grams(words, 2), _grams(words, 3)), lambda g: F.pmod(F.xxhash64(g), F.lit(FEATURES)).cast("int")))
     step = step.withColumn("licences", F.transform("licences", lambda x: F.struct(x["paragraph"].alias("paragraph"), F.array_distinct(_grams(x["words"], 2)).alias("pairs"), at(x["words"]).alias("features"))))
 
@@ -246,9 +257,15 @@ def find_licences(documents: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("licences", F.transform("licences", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["pairs"].alias("pairs"), (F.array_position(x["z"], F.array_max(x["z"])) - 1).cast("int").alias("top"), (F.lit(1.0) / F.aggregate(x["z"], F.lit(0.0), lambda a, z: a + F.exp(z - F.array_max(x["z"])))).alias("probability"))))
     step = step.withColumn("licences", F.filter("licences", lambda x: (x["top"] != unknown) & (x["probability"] >= m.threshold)))
     overlap = lambda x: F.coalesce(F.array_max(F.transform(F.get(compared, x["top"]), lambda t: F.size(F.array_intersect(x["pairs"], t)) / F.greatest(F.lit(1), F.size(x["pairs"])))), F.lit(0.0))
-    step = step.withColumn("licences", F.transform("licences", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["top"].alias("top"), x["probability"].alias("probability"), overlap(x).alias("overlap"))))
+    contained = lambda x: F.coalesce(F.array_max(F.zip_with(F.get(compared, x["top"]), F.get(alone, x["top"]), lambda t, own: F.when(F.arrays_overlap(x["pairs"], own), F.size(F.array_intersect(x["pairs"], t)) / F.greatest(F.lit(1), F.size(t))))), F.lit(0.0))
+    step = step.withColumn("licences", F.transform("licences", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["top"].alias("top"), x["probability"].alias("probability"), overlap(x).alias("overlap"), contained(x).alias("contained"))))
+    # The windows of a paragraph with one family side by side, the best of them first.
+    rank = lambda x: F.struct(x["paragraph"].alias("paragraph"), x["top"].alias("top"), (F.greatest(x["overlap"], x["contained"]) < CONFIRM).alias("unsure"), (-x["probability"]).alias("order"), (-x["contained"]).alias("less"), x["probability"].alias("probability"), x["overlap"].alias("overlap"), x["contained"].alias("contained"))
+    step = step.withColumn("licences", F.array_sort(F.transform("licences", rank)))
+    before = lambda i: F.get("licences", i - 1)
+    step = step.withColumn("licences", F.filter("licences", lambda x, i: (i == 0) | (before(i)["paragraph"] != x["paragraph"]) | (before(i)["top"] != x["top"])))
     family = F.array(*map(F.lit, names))
-    return step.withColumn("licences", F.coalesce(F.transform("licences", lambda x: F.struct(x["paragraph"].alias("paragraph"), F.get(family, x["top"]).alias("family"), x["probability"].alias("probability"), x["overlap"].alias("overlap"), (x["overlap"] >= CONFIRM).alias("confirmed"))), F.array().cast("array<struct<paragraph:int,family:string,probability:double,overlap:double,confirmed:boolean>>")))
+    return step.withColumn("licences", F.coalesce(F.transform("licences", lambda x: F.struct(x["paragraph"].alias("paragraph"), F.get(family, x["top"]).alias("family"), x["probability"].alias("probability"), x["overlap"].alias("overlap"), (x["overlap"] >= CONFIRM).alias("confirmed"), x["contained"].alias("contained"))), F.array().cast("array<struct<paragraph:int,family:string,probability:double,overlap:double,confirmed:boolean,contained:double>>")))
 
 
 def zip_pairs(words: list[str]) -> list[str]:

@@ -80,7 +80,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.find_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    sure = F.filter("licences", lambda x: x["confirmed"])
+    sure = F.filter("licences", lambda x: x["confirmed"] | (x["contained"] >= licences.CONFIRM))
     return found.select(
         "doc_id", F.size("licences").cast("long").alias("n_predicted"), F.size(sure).cast("long").alias("n_confirmed"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
