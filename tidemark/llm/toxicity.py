@@ -148,7 +148,7 @@ def fit(keys: list, examples: list[bytes], labels: list[int], neighbours: int =
         chi = n * np.maximum(0, np.abs(a * (n - ones - b) - b * (ones - a)) - n / 2) ** 2 / np.maximum(1, (a + b) * (n - a - b) * ones * (n - ones))
     # The chi-square (1 degree) whose tail is p / terms tried, from the normal tail's bound exp(-z*z/2).
     least = 2 * np.log(max(1, len(tried)) / p)
-    # Terms that mark either label; those for label 1 first, as they are what is looked for.
+    # Terms that mark label 1, as it is what is looked for; a text without any of them gets empty_score.
     kept = sorted((i for i in range(len(tried)) if chi[i] >= least and a[i] * (n - ones) > b[i] * ones), key=lambda i: (-chi[i], tried[i]))[:most_terms]
     terms = {tried[i]: k for k, i in enumerate(kept)}
     idf = np.array([np.log((1 + n) / (1 + df[tried[i]])) + 1 for i in kept])
