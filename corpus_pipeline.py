@@ -18,20 +18,27 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that 5-word shingles link at 0.8: the one with the smallest id.
 
-    Rows that repeat id and text count as one document; those without words all stay.
+    A row is its id and text: ids may repeat or be null (nulls last, then by the text's
+    hash). Rows that repeat both count as one document; those without words all stay.
     """
-    groups = stored(jaccard.ngram_groups(docs, k=5, num=80, den=100), "groups")
-    gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    groups = stored(jaccard.ngram_groups(docs, k=5, num=80, den=100, identity=True).where("n_shingles > 0"), "groups")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = groups.where(~first).select("doc_id", "text_hash").distinct()
+    ids = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if not ids.isEmpty():
+        # Several rows may have the smallest id of their component.
+        several = groups.where(first).groupBy("label").agg(F.min("text_hash").alias("stays"), F.max("text_hash").alias("last")).where("stays <> last")
+        gone = gone.unionByName(groups.where(first).join(several, "label").where("text_hash <> stays").select("doc_id", "text_hash").distinct())
+    gone = stored(gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")), "gone")
     few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    repeated = stored(repeated, "repeated")
-    if repeated.isEmpty():
+    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_hash")), "left_anti").select(*docs.columns)
+    if ids.isEmpty():
         return left
+    again = ids.withColumnRenamed("doc_id", "again")
     same = F.col("doc_id").eqNullSafe(F.col("again"))
-    again = repeated.withColumnRenamed("doc_id", "again")
-    once = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(again, same, "left_anti").unionByName(once)
+    words = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")  # as the shingles' words
+    once = left.where(words).join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.where(words).join(again, same, "left_anti").unionByName(once).unionByName(left.where(~words))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

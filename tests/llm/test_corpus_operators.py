@@ -312,3 +312,16 @@ def test_groups_of_a_null_key(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = jaccard.ngram_groups(df).orderBy("doc_id", "n_shingles").collect()
     assert [tuple(r) for r in got] == [(None, 1, None), (None, 57, 4), (4, 57, 4), (7, 0, 7), (9, 57, 4)]
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    text = lambda w: " ".join(f"{w}{i}" for i in range(80))
+    near = lambda w: text(w) + " more"
+    rows = [(1, text("a")), (2, near("a")), (2, text("b")), (3, text("c")), (3, near("c")), (None, text("d")), (None, near("d")), (None, near("b")), (None, text("e")), (4, text("f")), (4, text("f")), (5, ""), (5, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.jaccard_stage(spark, df, SF).collect()]
+    assert [i for i, t in left if t.startswith("a")] == [1] and [i for i, t in left if t.startswith("b")] == [2]
+    assert [i for i, t in left if t.startswith("c")] == [3] and [i for i, t in left if t.startswith("d")] == [None]
+    assert (None, text("e")) in left and left.count((4, text("f"))) == 1 and left.count((5, "")) == 2 and len(left) == 8

@@ -223,17 +223,19 @@ def folded(points: np.ndarray) -> np.ndarray:
     return points.reshape(len(points), -1, COORDINATES).sum(axis=1, dtype=np.int32)
 
 
-def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100, identity: bool = False) -> DataFrame:
     """``key``, ``n_shingles`` (distinct) and ``component_id`` of every row.
 
     Rows link when den * (shingles shared) >= num * (shingles of both); component_id is
     the smallest key reachable by links, the row's own included (nulls last). Rows
     without words are linked with nothing. Repeated rows give repeated results; rows of
     one key with other texts are other rows. Whole texts; no cap on partners, candidates or
-    leaves. An empty table gives no rows.
+    leaves. An empty table gives no rows. With ``identity`` also ``text_hash`` (xxhash64) and
+    ``label``, the component's own name: keys may repeat or be null, so that the key
+    alone tells neither a row nor a component.
     """
     bound = Bound(num, den)
-    sets = stored(_sets(documents, key, text, k), "sets")
+    sets = stored(_sets(documents, key, text, k, identity), "sets")
     classes = stored(sets.where("n > 0").groupBy("cls").agg(F.min("key").alias("rep"), F.first("n").alias("n")), "classes")
     filed = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("c")).first()
     buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((0.27 * filed["n"] + 4 * filed["c"]) / BUCKET_ENTRIES))
@@ -259,14 +261,15 @@ def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text",
     # A class's component is named by the smallest key in any of its classes.
     named = found.join(classes.select("cls", "rep"), "cls")
     smallest = named.groupBy("label").agg(F.min("rep").alias("least"))
-    linked = named.join(smallest, "label").select("cls", "least")
-    final = classes.select("cls", "rep").join(linked, "cls", "left").select("cls", F.coalesce("least", "rep").alias("least"))
-    return sets.join(final, "cls", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
+    linked = named.join(smallest, "label").select("cls", "least", "label")
+    final = classes.select("cls", "rep").join(linked, "cls", "left").select("cls", F.coalesce("least", "rep").alias("least"), F.coalesce("label", "cls").alias("label"))
+    return sets.join(final, "cls", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"), *(["text_hash", "label"] if identity else []))
 
 
-def _sets(documents: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """key, n and cls of every row (no class without words)."""
-    schema = T.StructType([T.StructField("key", documents.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType())])
+def _sets(documents: DataFrame, key: str, text: str, k: int, identity: bool) -> DataFrame:
+    """key, n and cls of every row (no class without words); with ``identity`` text_hash too."""
+    more = ["text_hash"] if identity else []
+    schema = T.StructType([T.StructField("key", documents.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), *(T.StructField(x, T.LongType()) for x in more)])
 
     def run(batches):
         for batch in batches:
@@ -274,9 +277,9 @@ def _sets(documents: DataFrame, key: str, text: str, k: int) -> DataFrame:
             for _, own in shingle_sets(batch.column(1), k):
                 n.append(len(own))
                 cls.append(class_of(own) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary())], ["key", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), *batch.columns[2:]], ["key", "n", "cls", *more])
 
-    return documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return documents.select(F.col(key).alias("key"), F.col(text).alias("text"), *(F.xxhash64(text).alias(x) for x in more)).mapInArrow(run, schema)
 
 
 _CLASS = np.dtype([("lo", "<u8"), ("hi", "<u4")])
