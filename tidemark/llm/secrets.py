@@ -9,6 +9,7 @@ is checked when it is compiled.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -157,7 +158,7 @@ def find_secrets(documents: DataFrame, text: str = "text", rules: tuple[Rule, ..
     """``documents`` with ``secret_spans``: kind, start and end (exclusive) in code points of the whole text.
 
     By start, then in the order of ``rules``. A null text has none. With ``redact`` the
-    text's secret parts (spans that overlap as one) are replaced by it. Rows are
+    text's secret parts (spans that overlap as one; a private key to its end) are replaced by it. Rows are
     independent: no exchange. A column named secret_spans is replaced.
     """
     documents = documents.drop("secret_spans")
@@ -187,9 +188,27 @@ def find_secrets(documents: DataFrame, text: str = "text", rules: tuple[Rule, ..
     return documents.mapInArrow(run, schema)
 
 
+#: A private key from its header (the span of the pem rule) to its end line, before any other header; without one, to the end of the base64 block.
+_KEY_HEADER = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----\Z")
+_NEXT_HEADER = re.compile(rb"-----BEGIN ")
+_KEY_END = re.compile(rb"-----END [A-Z ]*PRIVATE KEY-----")
+_KEY_LINES = re.compile(rb"(?:[ \t>]*+(?:[A-Z][A-Za-z-]*+: [^\r\n]*+)?\r?\n)*+[ \t>]*+[A-Za-z0-9+/]{16,}+={0,2}+(?:[ \t]*+\r?\n[ \t>]*+[A-Za-z0-9+/]{16,}+={0,2}+(?=[ \t]*+(?:\r?\n|\Z)))*+(?:[ \t]*+\r?\n[ \t>]*+[A-Za-z0-9+/]{1,15}+={0,2}+(?=[ \t]*+(?:\r?\n|\Z)))?+")
+
+
+def key_end(text: bytes, a: int, b: int) -> int:
+    """Where the private key ends whose header is text[a:b]; b for other spans."""
+    if not _KEY_HEADER.match(text, a, b):
+        return b
+    other = _NEXT_HEADER.search(text, b)
+    end = _KEY_END.search(text, b, other.start() if other else len(text)) or _KEY_LINES.match(text, b)
+    return end.end() if end else b
+
+
 def redacted(text: bytes, spans: list[tuple[int, int]], put: str) -> str:
+    """``text`` with ``put`` for its spans; that of a private key's header goes on to the key's end."""
     out, last = [], 0
     for a, b in sorted(spans):
+        b = key_end(text, a, b)
         if a >= last:
             out += [text[last:a], put.encode()]
         last = max(last, b)
