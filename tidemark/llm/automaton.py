@@ -114,14 +114,15 @@ class _Parser:
 class Automaton:
     """Smallest automaton of ``rules`` (pattern, letters match in either case).
 
-    ``search``: a match may begin at any byte. ``table[state][class]`` is the next
+    ``search``: a match may begin at any byte. ``backward``: of the reversed matches, to
+    be fed from a text's end; where one ends, a match begins. ``table[state][class]`` is the next
     state, ``classes`` maps bytes to classes, ``accepts[state]`` the set of rules of
     which a match ends here. State 0 is the start; ``accepting`` is the first of the
     accepting states, which come last. ``dead`` is the state from which nothing can be
     accepted (-1: none).
     """
 
-    def __init__(self, rules: list[tuple[str, bool]], search: bool):
+    def __init__(self, rules: list[tuple[str, bool]], search: bool, backward: bool = False):
         edges: list[list[tuple[frozenset, int]]] = []
         empties: list[list[int]] = []
         final: dict[int, int] = {}
@@ -139,7 +140,7 @@ class Automaton:
                 edges[a].append((tree[1], b))
                 return b
             if kind == "and":
-                for x in tree[1]:
+                for x in reversed(tree[1]) if backward else tree[1]:
                     a = build(x, a)
                 return a
             if kind == "or":
@@ -226,10 +227,10 @@ class Automaton:
         columns = [i for i in range(len(self.table[0])) if all(row[i] == 0 for row in self.table)]
         return {b for b in range(256) if self.classes[b] in columns}
 
-    def longest(self, data: bytes, at: int) -> int:
-        """End of the longest match that begins at ``at`` (of classes, not of bytes), or -1."""
+    def longest(self, data: bytes, at: int, most: int | None = None) -> int:
+        """End of the longest match (of ``most`` bytes at most) that begins at ``at`` (of classes, not of bytes), or -1."""
         table, accepting, dead, s, end = self.table, self.accepting, self.dead, 0, -1
-        for i in range(at, len(data)):
+        for i in range(at, len(data) if most is None else min(len(data), at + most)):
             s = table[s][data[i]]
             if s >= accepting:
                 end = i + 1

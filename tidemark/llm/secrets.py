@@ -1,10 +1,14 @@
 """Secrets in texts by one deterministic automaton for all rules.
 
-The rules are compiled to one smallest automaton. One pass over the bytes of a line
-tells which rules match in it at all; only for those the spans are taken, leftmost
-first and not overlapping within a rule, by the rule's own automaton. Lines can be
-looked at one by one because a line feed puts the automaton back to its start, which
-is checked when it is compiled.
+The rules' expressions, reversed, are compiled to one smallest automaton. It goes over the
+bytes of a line once, from the end, and marks for all rules at once where a match begins
+(forwards the same expressions need 16,000 states, backwards 421). From the leftmost begin
+a rule's match is followed to its longest end; begins that lead nowhere are never
+followed, so the time is linear in the line. Lines can be looked at one by one because a
+line feed puts the automaton back to its start, which is checked when it is compiled.
+
+Counted runs side by side would multiply the automaton's states. An expression therefore
+has plain runs (``+``); their lengths are checked on the match.
 """
 
 from __future__ import annotations
@@ -24,11 +28,13 @@ from .common import texts
 
 @dataclass(frozen=True)
 class Rule:
-    """``least``: bytes that the value has at least; shorter matches are passed over, not searched again.
+    """An expression, and the lengths that a match must have.
 
-    ``trigger``: what each match contains, for the shared automaton (the pattern itself, if
-    empty). Two long counted runs side by side would multiply its states; a trigger
-    leaves a rule's counting to the rule's own automaton.
+    ``least``: bytes of the value at least. ``parts``: bytes at least of the match's parts
+    between dots. ``most``: bytes at most; a longer match ends there. After a match that is
+    too short the search goes on behind it, with ``again`` at the next byte that may begin
+    a match with other lengths. ``runs`` is the expression for the automaton, where it
+    differs: counted runs are plain ones there.
     """
 
     kind: str
@@ -36,25 +42,28 @@ class Rule:
     fold: bool = False
     least: int = 0
     head: str = ""  # what stands before the value; empty: the whole match is the value
-    trigger: str = ""
+    parts: tuple[int, ...] = ()
+    most: int | None = None
+    again: bool = False
+    runs: str = ""
 
 
 _KEYWORD = "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
 #: What stands before the value of an assignment.
 ASSIGN_HEAD = _KEYWORD + "[\"']?\\x20*[:=]\\x20*[\"']?"
 BASE_RULES = (
-    Rule("assign", ASSIGN_HEAD + "[A-Za-z0-9+/_.=-]+", least=6, head=ASSIGN_HEAD, trigger=ASSIGN_HEAD + "[A-Za-z0-9+/_.=-]"),
-    Rule("access", "AKIA[A-Z0-9]+", least=20, trigger="AKIA[A-Z0-9]"),
-    Rule("hex", "[0-9a-f]+", least=24, trigger="[0-9a-f]{24}"),
+    Rule("assign", ASSIGN_HEAD + "[A-Za-z0-9+/_.=-]+", least=6, head=ASSIGN_HEAD),
+    Rule("access", "AKIA[A-Z0-9]+", least=20),
+    Rule("hex", "[0-9a-f]+", least=24, runs="[0-9a-f]{24,}"),  # of runs only the long ones: the one count in the automaton
 )
 #: Spans that this method adds to the base ones.
 MORE_RULES = (
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", trigger="-----BEGIN "),
-    Rule("github", "gh[opsur]_[A-Za-z0-9]{36,}", trigger="gh[opsur]_"),
-    Rule("slack", "xox[abeprs]-[A-Za-z0-9-]{10,}", trigger="xox[abeprs]-"),
-    Rule("google", "AIza[A-Za-z0-9_-]{35}", trigger="AIza"),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", trigger="\\.eyJ"),
-    Rule("stripe", "[rs]k_(live|test)_[A-Za-z0-9]{16,}", trigger="[rs]k_(live|test)_"),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", "gh[opsur]_[A-Za-z0-9]{36,}", least=40, again=True, runs="gh[opsur]_[A-Za-z0-9]+"),
+    Rule("slack", "xox[abeprs]-[A-Za-z0-9-]{10,}", least=15, again=True, runs="xox[abeprs]-[A-Za-z0-9-]+"),
+    Rule("google", "AIza[A-Za-z0-9_-]{35}", least=39, most=39, again=True, runs="AIza[A-Za-z0-9_-]+"),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", parts=(11, 11, 8), again=True, runs="eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+"),
+    Rule("stripe", "[rs]k_(live|test)_[A-Za-z0-9]{16,}", least=24, again=True, runs="[rs]k_(live|test)_[A-Za-z0-9]+"),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -62,20 +71,18 @@ RULES = BASE_RULES + MORE_RULES
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.all = Automaton([(r.trigger or r.pattern, r.fold) for r in rules], search=True)
+        self.all = Automaton([(r.runs or r.pattern, r.fold) for r in rules], search=True, backward=True)
         # The same table with rows that hold rows, and nothing after an accepting state.
         self.rows: list[list] = [[] for _ in self.all.table]
         for row, out in zip(self.rows, self.all.table[: self.all.accepting]):
             row.extend(self.rows[t] for t in out)
         if 0x0A not in self.all.resets():
             raise ValueError("a rule's match may span a line feed")
-        self.each = [Automaton([(r.pattern, r.fold)], search=False) for r in rules]
-        # Where a match of a rule can begin.
-        self.begins = [{c for c in range(256) if a.table[0][a.classes[c]] != a.dead} for a in self.each]
+        self.each = [Automaton([(r.runs or r.pattern, r.fold)], search=False) for r in rules]
         self.heads = [Automaton([(r.head, r.fold)], search=False) if r.head else None for r in rules]
 
     def matches(self, line: bytes) -> bool:
-        """Whether any rule matches in a line (of classes): one array access for a byte."""
+        """Whether any rule matches in a reversed line (of classes): one array access for a byte."""
         row = self.rows[0]
         try:
             for c in line:
@@ -84,53 +91,70 @@ class Scanner:
             return True
         return not row
 
-    def lines(self, text: bytes) -> list[tuple[int, int, set]]:
-        """(begin, end, rules whose trigger is in it) of the lines with any."""
-        table, accepting, accepts, out, at = self.all.table, self.all.accepting, self.all.accepts, [], 0
+    def lines(self, text: bytes) -> list[tuple[int, int]]:
+        """(begin, end) of the lines with a match."""
+        out, at, classes = [], 0, self.all.classes
         for line in text.split(b"\n"):
-            data = line.translate(self.all.classes)
-            if self.matches(data):
-                s, seen = 0, set()
-                for c in data:
-                    s = table[s][c]
-                    if s >= accepting:
-                        seen |= accepts[s]
-                out.append((at, at + len(line), seen))
+            if self.matches(line.translate(classes)[::-1]):
+                out.append((at, at + len(line)))
             at += len(line) + 1
         return out
 
+    def begins(self, line: bytes) -> dict[int, list[int]]:
+        """Of each rule the rising places in a line where a match begins."""
+        table, accepting, accepts, s = self.all.table, self.all.accepting, self.all.accepts, 0
+        out: dict[int, list[int]] = {}
+        data = line.translate(self.all.classes)
+        for i in range(len(data) - 1, -1, -1):
+            s = table[s][data[i]]
+            if s >= accepting:
+                for r in accepts[s]:
+                    out.setdefault(r, []).append(i)
+        return {r: places[::-1] for r, places in out.items()}
+
     def spans(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(begin, end, rule) in bytes, by begin, then rule."""
+        """(begin, end, rule) in bytes, by begin, then rule; leftmost first and not overlapping within a rule."""
         out = []
-        for lo, hi, seen in self.lines(text):
+        for lo, hi in self.lines(text):
             line = text[lo:hi]
-            for r in seen:
-                rule, own, begins = self.rules[r], self.each[r], self.begins[r]
+            for r, places in self.begins(line).items():
+                rule, own = self.rules[r], self.each[r]
                 data, at = line.translate(own.classes), 0
-                while at < len(line):
-                    end = own.longest(data, at) if line[at] in begins else -1
-                    if end < 0:
-                        at += 1
+                for i in places:
+                    if i < at:
                         continue
-                    if self.value_length(r, line, at, end) >= rule.least:
-                        out.append((lo + at, lo + end, r))
-                    at = end
+                    end = own.longest(data, i, rule.most)
+                    short = self.short(r, line, i, end)
+                    if short < 0:
+                        out.append((lo + i, lo + end, r))
+                    at = end if short < 0 or not rule.again else max(short, i + 1)
         out.sort(key=lambda x: (x[0], x[2]))
         return out
 
+    def short(self, r: int, line: bytes, at: int, end: int) -> int:
+        """-1 for a match with the rule's lengths, else where what is too short begins: no begin before it has other lengths, if it isn't the match's own."""
+        rule = self.rules[r]
+        if self.value_length(r, line, at, end) < rule.least:
+            return at
+        for part, least in zip(line[at:end].split(b"."), rule.parts):
+            if len(part) < least:
+                return at
+            at += len(part) + 1
+        return -1
+
     def value_length(self, r: int, line: bytes, at: int, end: int) -> int:
         if self.heads[r] is None:
             return end - at
         head = self.heads[r]
         # The head ends before the value at the latest place from which only value bytes follow; '=' may be in both.
-        data, s, first = line.translate(head.classes), 0, -1
-        for i in range(at, end):
-            s = head.table[s][data[i]]
+        data, s, first = line[at:end].translate(head.classes), 0, -1
+        for i, c in enumerate(data):
+            s = head.table[s][c]
             if s == head.dead:
                 break
             if s >= head.accepting:
                 first = i + 1
-        return end - first
+        return end - at - first
 
 
 @lru_cache(maxsize=4)
