@@ -38,8 +38,8 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     index = toxicity.train(documents, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(documents, index, keep=["doc_id"], evidence=0)
-    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = toxicity.score_toxicity(documents, index, keep=["doc_id"])
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

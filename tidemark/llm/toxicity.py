@@ -1,13 +1,14 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-``fit`` takes a bounded sample of labelled texts, keeps the terms whose presence is
-associated with the label (chi-square with Yates' correction; the bound on p allows
-for the number of terms tried), weighs them by TF-IDF and indexes the examples in an
-inverted index of blocks. For each term and block the index holds the largest weight
-in that block. A query adds those up to a bound for each block, looks into blocks in
-falling order of their bounds and stops once no block left can hold a nearer
-neighbour: the nearest are exact. Votes are weighted by distance, and isotonic
-regression on the examples' own leave-one-out votes turns them into probabilities.
+``fit`` takes a bounded sample of labelled texts and indexes the examples of both labels
+under all their words, in an inverted index of blocks. A term's weight is its TF-IDF, and
+counts in full if its presence is associated with the label (chi-square with Yates'
+correction; the bound on p allows for the number of terms tried), else by the share
+OTHER. For each term and block the index holds the largest weight in that block. A query
+adds those up to a bound for each block, looks into the blocks of the highest bounds,
+and then into all those whose bound is not under the nearest found so far: the nearest
+are exact. Votes are weighted by distance, and isotonic regression on the votes of labelled
+rows that are no examples and chose no terms turns them into probabilities.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from hashlib import blake2b
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +30,49 @@ from .common import texts
 TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
-#: Bytes of a stem term: inflected forms of one stem are one more term.
+#: Bytes of a stem term: inflected forms of one stem are one more term, if that is associated with the label.
 STEM = 5
+#: Share of its TF-IDF weight that a term counts which is not associated with the label.
+OTHER = 0.1
+#: Blocks that are looked into before bounds are held against the nearest found.
+FIRST_BLOCKS = 4
 
 
-def terms_of(text: bytes) -> list[bytes]:
-    """Words of a text (letters, digits, all beyond ASCII; A-Z lower-cased), and the stems of longer ones."""
-    found = TERM.findall(text.lower())
-    return found + [x[:STEM] + b"*" for x in found if len(x) > STEM]
+def term_counts(text: bytes) -> Counter:
+    """Words of a text: letters, digits, all beyond ASCII; A-Z lower-cased."""
+    return Counter(TERM.findall(text.lower()))
 
 
-def term_counts(text: bytes) -> Counter:
-    return Counter(terms_of(text))
+def with_stems(counts: Counter) -> Counter:
+    """And the stems of longer words, marked by an asterisk."""
+    out = Counter(counts)
+    for word, n in counts.items():
+        if len(word) > STEM:
+            out[word[:STEM] + b"*"] += n
+    return out
 
 
 @dataclass
 class ToxicityIndex:
-    """An index of labelled examples; a few MB at the default bounds."""
+    """An index of labelled examples: some 30 MB at the default bounds, 1 GB if all examples are as long as may be and share no word.
+
+    ``at`` and ``weight`` are the postings by term, then example; those of a term in one
+    block are an entry: from ``begin[e]`` to ``begin[e + 1]``, in block ``block_of[e]``,
+    of largest weight ``block_max[e]``. Term t has the entries ``first[t]`` to ``first[t + 1]``.
+    """
 
     terms: dict[bytes, int]
-    idf: np.ndarray
-    keys: np.ndarray
+    stem_of: np.ndarray
+    factor: np.ndarray
+    keys: np.ndarray  # objects, as the table has them
     labels: np.ndarray
+    at: np.ndarray
+    weight: np.ndarray
+    begin: np.ndarray
     block_of: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of a term: examples, weights, where each block's begin
     block_max: np.ndarray
+    first: np.ndarray
+    blocks: int
     block: int
     neighbours: int
     prior: float
@@ -60,33 +81,39 @@ class ToxicityIndex:
     scores: np.ndarray
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms of a text and their unit-length TF-IDF weights."""
-        return _unit(self.terms, self.idf, counts)
+        """Known terms of a text (of its ``term_counts``) and their unit-length weights."""
+        return _unit(self.terms, self.stem_of, self.factor, counts)
 
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples (cosine over 0) and their cosines; ties go to the lower position."""
-        k = self.neighbours + (skip >= 0)
-        bounds = weights @ self.block_max[ids]
+        entry, q = _ranges(self.first[ids], self.first[ids + 1], weights)
+        block = self.block_of[entry]
+        bounds = np.bincount(block, self.block_max[entry] * q, minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in order.tolist():
-            # Sums of floats may differ in the last bits: a block whose bound is equal but for those is looked into.
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1] * (1 - 1e-12):
-                break
-            sums = np.zeros(self.block)
-            for i, w in zip(ids.tolist(), weights.tolist()):
-                at, value, starts = self.postings[i]
-                lo, hi = starts[b], starts[b + 1]
-                if lo < hi:
-                    sums[at[lo:hi] - b * self.block] += w * value[lo:hi]
-            there = np.flatnonzero(sums > 0)
-            best_at, best = np.concatenate([best_at, there + b * self.block]), np.concatenate([best, sums[there]])
-            top = np.lexsort((best_at, -np.round(best, 12)))[:k]
-            best_at, best = best_at[top], best[top]
-        if skip >= 0:
-            keep = best_at != skip
-            best_at, best = best_at[keep][: self.neighbours], best[keep][: self.neighbours]
-        return best_at, best
+        k, (near, rest) = self.neighbours, np.split(order, [FIRST_BLOCKS])
+        sums = self._sums(near, entry, q, block)
+        found = np.partition(sums, -k)[-k] if len(sums) > k else 0.0
+        # Sums of floats may differ in the last bits: a block whose bound is equal but for those is looked into.
+        rest = rest[(bounds[rest] > 0) & (bounds[rest] >= found * (1 - 1e-9))]
+        if 3 * len(rest) > self.blocks:  # most of the index: whole postings of the terms are read faster
+            place, w = _ranges(self.begin[self.first[ids]], self.begin[self.first[ids + 1]], weights)
+            sums = np.bincount(self.at[place], self.weight[place] * w, minlength=len(sums))
+        elif len(rest):
+            sums += self._sums(rest, entry, q, block)
+        there = np.flatnonzero(sums > 0)
+        if len(there) > k:  # all that tie with the last one stay for the order
+            there = there[sums[there] >= np.partition(sums[there], -k)[-k] * (1 - 1e-9)]
+        top = there[np.lexsort((there, -np.round(sums[there], 9)))[:k]]
+        return top, sums[top]
+
+    def _sums(self, blocks: np.ndarray, entry: np.ndarray, q: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Cosines with the examples of some blocks, from the query's entries."""
+        chosen = np.zeros(self.blocks, bool)
+        chosen[blocks] = True
+        mine = chosen[block]
+        e = entry[mine]
+        place, w = _ranges(self.begin[e], self.begin[e + 1], q[mine])
+        return np.bincount(self.at[place], self.weight[place] * w, minlength=len(self.labels))
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """Votes weighted by 1 / distance (of unit vectors), one vote of the prior added."""
@@ -96,21 +123,36 @@ class ToxicityIndex:
     def score(self, counts: Counter) -> tuple[float, np.ndarray, np.ndarray]:
         """Probability of label 1, and the examples it rests on with their cosines."""
         ids, weights = self.vector(counts)
-        if not len(ids):
-            return self.empty_score, np.zeros(0, np.int64), np.zeros(0)
-        at, cosine = self.nearest(ids, weights)
+        at, cosine = self.nearest(ids, weights) if len(ids) else (np.zeros(0, np.int64), np.zeros(0))
         if not len(at):
             return self.empty_score, at, cosine
         return float(np.interp(self.vote(at, cosine), self.grid, self.scores)), at, cosine
 
 
-def _unit(terms, idf, counts):
-    found = sorted((terms[t], n) for t, n in counts.items() if t in terms)
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0)
-    ids, n = np.array(found, np.int64).T
-    w = (1 + np.log(n)) * idf[ids]
-    return ids, w / np.sqrt(w @ w)
+def _ranges(first: np.ndarray, last: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges [first, last), and for each the value of its range."""
+    size = last - first
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0), np.repeat(value, size)
+
+
+def _unit(terms: dict[bytes, int], stem_of: np.ndarray, factor: np.ndarray, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Known terms and weights; ``stem_of`` has the stem's term of each word that is a term, -1 for none."""
+    known = terms.get
+    ids, n = np.fromiter(map(known, counts, repeat(-1)), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+    there = ids >= 0
+    stems = np.where(there, stem_of[ids], -1)
+    if not there.all():  # words that no example has
+        names = list(counts)
+        for i in np.flatnonzero(~there).tolist():
+            if len(names[i]) > STEM:
+                stems[i] = known(names[i][:STEM] + b"*", -1)
+    by_stem, of = np.unique(stems[stems >= 0], return_inverse=True)
+    ids, n = np.concatenate([ids[there], by_stem]), np.concatenate([n[there], np.bincount(of, n[stems >= 0], minlength=len(by_stem))])
+    order = np.argsort(ids)
+    ids, n = ids[order], n[order]
+    w = (1 + np.log(n)) * factor[ids]
+    return ids, w / np.sqrt(w @ w) if len(w) else w
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,20 +168,23 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in points]), np.maximum.accumulate(np.array([p[1] for p in points]))
 
 
-def fit(keys: list, examples: list[bytes], labels: list[int], neighbours: int = 15, most_terms: int = 512, block: int = 64, p: float = 0.01) -> ToxicityIndex:
+def fit(keys: list, examples: list[bytes], labels: list[int], neighbours: int = 15, block: int = 64, p: float = 0.01, calibrate: int = 5, other: float = OTHER) -> ToxicityIndex:
     """An index over the examples given (no examples: every score is 0.5).
 
-    ``most_terms`` bounds the terms kept, those most strongly associated with the label
-    first. Examples without any of those count for the score of texts without any.
+    Every ``calibrate``-th row (0: none) is no example but serves to turn votes into
+    probabilities. Examples without words count for the score of texts without known ones.
     """
     y = np.array(labels, np.float64)
-    n, ones = len(y), float(y.sum())
+    held = np.arange(calibrate - 1, len(y), calibrate) if calibrate else np.arange(0)
+    mine = np.setdiff1d(np.arange(len(y)), held)
+    n, ones = len(mine), float(y[mine].sum())
     counted = [term_counts(x) for x in examples]
     df, df1 = Counter(), Counter()
-    for c, label in zip(counted, labels):
-        df.update(c.keys())
-        if label:
-            df1.update(c.keys())
+    for i in mine.tolist():
+        own = with_stems(counted[i]).keys()
+        df.update(own)
+        if labels[i]:
+            df1.update(own)
     tried = [t for t in df if df[t] >= 5]
     a = np.array([df1[t] for t in tried], np.float64)
     b = np.array([df[t] for t in tried], np.float64) - a
@@ -147,32 +192,32 @@ def fit(keys: list, examples: list[bytes], labels: list[int], neighbours: int =
     if 0 < ones < n and tried:
         chi = n * np.maximum(0, np.abs(a * (n - ones - b) - b * (ones - a)) - n / 2) ** 2 / np.maximum(1, (a + b) * (n - a - b) * ones * (n - ones))
     # The chi-square (1 degree) whose tail is p / terms tried, from the normal tail's bound exp(-z*z/2).
-    least = 2 * np.log(max(1, len(tried)) / p)
-    # Terms that mark label 1, as it is what is looked for; a text without any of them gets empty_score.
-    kept = sorted((i for i in range(len(tried)) if chi[i] >= least and a[i] * (n - ones) > b[i] * ones), key=lambda i: (-chi[i], tried[i]))[:most_terms]
-    terms = {tried[i]: k for k, i in enumerate(kept)}
-    idf = np.array([np.log((1 + n) / (1 + df[tried[i]])) + 1 for i in kept])
-    vectors = [_unit(terms, idf, c) for c in counted]
-    full = [i for i, v in enumerate(vectors) if len(v[0])]
-    none = [i for i, v in enumerate(vectors) if not len(v[0])]
+    marks = {t for t, x in zip(tried, chi.tolist()) if x >= 2 * np.log(max(1, len(tried)) / p)}
+    terms = {t: i for i, t in enumerate(sorted(t for t in df if t in marks or not t.endswith(b"*")))}
+    factor = np.array([(np.log((1 + n) / (1 + df[t])) + 1) * (1 if t in marks else other) for t in terms])
+    stem_of = np.array([terms.get(t[:STEM] + b"*", -1) if len(t) > STEM and not t.endswith(b"*") else -1 for t in terms] or [-1], np.int64)
+    vectors = {i: _unit(terms, stem_of, factor, counted[i]) for i in mine.tolist()}
+    full = [i for i, v in vectors.items() if len(v[0])]
     # Like examples share a block, which keeps the blocks' bounds tight.
-    full.sort(key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), tuple(vectors[i][0].tolist()), i))
+    full.sort(key=lambda i: (labels[i], int(vectors[i][0][np.argmax(vectors[i][1])]), i))
+    term = np.concatenate([vectors[i][0] for i in full] or [np.zeros(0, np.int64)])
+    weight = np.concatenate([vectors[i][1] for i in full] or [np.zeros(0)])
+    at = np.repeat(np.arange(len(full)), [len(vectors[i][0]) for i in full])
+    order = np.lexsort((at, term))
+    term, weight, at = term[order], weight[order], at[order]
     blocks = max(1, -(-len(full) // block))
-    postings, block_max = [], np.zeros((max(1, len(terms)), blocks))
-    lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for at, i in enumerate(full):
-        for t, w in zip(*vectors[i]):
-            lists[t].append((at, w))
-    for t, entries in enumerate(lists):
-        at, w = np.array([x[0] for x in entries], np.int64), np.array([x[1] for x in entries])
-        postings.append((at, w, np.searchsorted(at, np.arange(blocks + 1) * block)))
-        np.maximum.at(block_max[t], at // block, w)
+    pair = term * blocks + at // block
+    begin = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
     prior = (ones + 0.5) / (n + 1)
-    empty = (float(y[none].sum()) + prior) / (len(none) + 1) if none else prior
-    index = ToxicityIndex(terms, idf, np.array([keys[i] for i in full], np.int64), y[full], np.arange(len(full)) // block, postings, block_max, block, neighbours, prior, float(empty), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    if full:
-        own = np.array([index.vote(*index.nearest(*vectors[i], skip=at)) for at, i in enumerate(full)])
-        index.grid, index.scores = _isotonic(own, y[full])
+    none = [i for i in mine.tolist() if i not in set(full)]
+    empty = (float(y[none].sum()) + prior) / (len(none) + 1)
+    index = ToxicityIndex(
+        terms, stem_of, factor, np.array([keys[i] for i in full], object), y[full], at, weight, np.append(begin, len(at)), (at // block)[begin],
+        np.maximum.reduceat(weight, begin) if len(begin) else np.zeros(0), np.searchsorted(term[begin], np.arange(len(terms) + 1)), blocks, block, neighbours, prior, float(empty), np.array([0.0, 1.0]), np.array([0.0, 1.0]),
+    )
+    votes = [(index.vote(*index.nearest(*v)), y[i]) for i in held.tolist() if len((v := index.vector(counted[i]))[0])]
+    if votes:
+        index.grid, index.scores = _isotonic(*map(np.array, zip(*votes)))
     return index
 
 
@@ -199,27 +244,26 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, key: str, text: str
 def score_toxicity(documents: DataFrame, index: ToxicityIndex, text: str = "text", keep: list[str] | None = None, evidence: int = 3) -> DataFrame:
     """``keep`` columns (None: all), ``score``, and as ``evidence`` the keys, labels and cosines of the nearest examples.
 
-    One row for each row; null and empty texts get the score of texts without known
-    terms. Whole texts are read; equal counts of known terms are scored once a batch.
-    Rows are independent: no exchange. Columns named score or evidence are replaced.
+    One row for each row, repeated ones too; null and empty texts get the score of texts
+    without known terms and no evidence; an empty table gives no rows. Whole texts are
+    read, one at a time; equal texts are scored once a batch. Rows are independent: no
+    exchange. Columns named score or evidence are replaced.
     """
     shared = documents.sparkSession.sparkContext.broadcast(index)
-    keep = [c for c in (documents.columns if keep is None else keep) if c not in ("score", "evidence")]
-    schema = T.StructType([*(documents.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())])))])
-    kind = pa.list_(pa.struct([("key", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+    keep = [c for c in (documents.columns if keep is None else keep) if c.lower() not in ("score", "evidence")]
+    schema = T.StructType([*(documents.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())])))])
+    kind = pa.list_(pa.struct([("key", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches):
         index = shared.value
-        known = index.terms.keys()
         for batch in batches:
-            done: dict[tuple, tuple] = {}
+            done: dict[bytes, tuple] = {}
             scores, why = [], []
             for x in texts(batch.column(len(keep))):
-                counts = Counter(t for t in terms_of(x) if t in known)
-                sign = tuple(sorted(counts.items()))
+                sign = x if len(x) <= 32 else blake2b(x, digest_size=16).digest()
                 if sign not in done:
-                    score, at, cosine = index.score(counts)
-                    done[sign] = score, [{"key": k, "label": int(y), "cosine": c} for k, y, c in zip(index.keys[at[:evidence]].tolist(), index.labels[at[:evidence]].tolist(), cosine[:evidence].tolist())]
+                    score, at, cosine = index.score(term_counts(x))
+                    done[sign] = score, [{"key": str(index.keys[i]), "label": int(index.labels[i]), "cosine": c} for i, c in zip(at[:evidence].tolist(), cosine[:evidence].tolist())]
                 score, because = done[sign]
                 scores.append(score)
                 why.append(because)
@@ -228,11 +272,11 @@ def score_toxicity(documents: DataFrame, index: ToxicityIndex, text: str = "text
     return documents.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
-#: Labelled rows that ``train`` fits on at most, and the longest text of an example.
-MOST_EXAMPLES, EXAMPLE_BYTES = 6000, 20_000
+#: Labelled rows that ``train`` fits on at most (of which a fifth calibrates), and the longest text of an example.
+MOST_EXAMPLES, EXAMPLE_BYTES = 4000, 20_000
 
 
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_EXAMPLES, text_bytes: int = EXAMPLE_BYTES) -> ToxicityIndex:
-    """``fit`` on ``labelled_sample``; at the default bounds under 120 MB reach the driver, 20 MB as a rule."""
+    """``fit`` on ``labelled_sample``; at the default bounds under 80 MB reach the driver, 12 MB as a rule."""
     rows = labelled_sample(documents, labels, key, text, label, most, text_bytes)
     return fit([r.k for r in rows], [r.x.encode() for r in rows], [r.y for r in rows])
