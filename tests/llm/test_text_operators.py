@@ -1,7 +1,9 @@
 """Operators on single rows: extraction, media, secrets, licences, toxicity."""
 
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -47,6 +49,74 @@ def test_extraction_by_density_beside_articles():
     assert html_extract.main_text(f"<body><article><h1>Head</h1><div>{story('story', 3)}</div></article>{cards}</body>").startswith("Head\nstory")
 
 
+def test_extraction_of_pages_that_look_like_noise():
+    story = "".join(f"<p>{'story ' * (30 + 7 * i)}</p>" for i in range(5))
+    want = "\n".join(("story " * (30 + 7 * i)).strip() for i in range(5))
+    for page in (
+        f"<body><form id=aspnetForm><div><article>{story}</article></div></form></body>",
+        f"<body><form id=aspnetForm><div>{story}</div><input value=x><select><option>a</select></form></body>",
+        f'<body><div class="post related-work">{story}</div><p>x</p></body>',
+        f'<body><p title="abc>{story}',
+        f'<body><div id="page" class="has-sidebar"><div class="sidebar">menu words here</div><div>{story}</div></div></body>',
+        f'<body><div>{story}</div><div class="comments"><p>{"long comment " * 500}</p></div></body>',
+        f"<body><div>{story}<form>Sign up now<input></form></div></body>",
+        f'<p data-x="a<b>c" class=y>{story}</p>',
+    ):
+        assert html_extract.main_text(page) == want
+
+
+def test_extraction_in_linear_time():
+    for what in ("<div>", "<header>", "<li><div>", "</b><div>", "<form>", '<div class="nav">', "<table><tr><td>"):
+        began = time.process_time()
+        html_extract.main_text(what * 20_000 + "deep text here")
+        assert time.process_time() - began < 20
+
+
+def test_density_by_brute_force():
+    """Densities and sums of every node, counted again from its whole subtree."""
+    rng = random.Random(12)
+
+    def page(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["some words", "x", "a longer text of words ", ""]) * rng.randrange(4)
+        tag = rng.choice(["div", "p", "a", "b", "section", "li", "span"])
+        return f"<{tag}>" + "".join(page(depth - 1) for _ in range(rng.randrange(4))) + f"</{tag}>"
+
+    nodes = lambda x: [x] + [z for y in x.children if not isinstance(y, str) and not y.noise for z in nodes(y)]
+
+    def counts(x, link):
+        link = link or x.tag == "a"
+        c = lc = t = lt = 0
+        for y in x.children:
+            if isinstance(y, str):
+                n = len(" ".join(y.split()))
+                c, lc = c + n, lc + n * link
+            elif not y.noise:
+                own = counts(y, link)
+                c, lc, t, lt = c + own[0], lc + own[1], t + own[2] + 1, lt + own[3] + (y.tag == "a")
+        return c, lc, t, lt
+
+    for _ in range(60):
+        root = html_extract.parse(f"<body>{''.join(page(5) for _ in range(4))}</body>")
+        html_extract.core(root)
+        body = next((x for x in nodes(root) if x.tag == "body"), root)
+        bc, blc, _, _ = counts(body, False)
+        for x in nodes(root):
+            up, link = x.parent, False
+            while up is not None:
+                link, up = link or up.tag == "a", up.parent
+            c, lc, t, lt = counts(x, link)
+            want = 0.0
+            if c:
+                base = math.log(c * max(1, lc) / max(1, c - lc) + blc / max(1, bc) * c + math.e)
+                want = c / max(1, t) * math.log(max(1.0, c * max(1, t) / (max(1, lc) * max(1, lt)))) / math.log(max(base, 1 + 1e-9)) if base > 1 else 0.0
+            assert math.isclose(x.density, want, abs_tol=1e-9)
+            below = [y for y in x.children if not isinstance(y, str) and not y.noise]
+            parts = [y.density for y in below if y.tag not in html_extract.INLINE]
+            if parts:
+                assert math.isclose(x.total, sum(parts) + sum(y.total for y in below if y.tag in html_extract.INLINE), abs_tol=1e-9)
+
+
 def test_sharding(spark):
     rng = random.Random(2)
     rows = [(rng.choice([None, *range(400)]), rng.choice([0, 16, 100, 5000])) for _ in range(900)]
@@ -217,13 +287,14 @@ def test_toxicity(spark):
     truth = [int(rng.random() < 0.2) for _ in range(900)]
     texts = [make(t) for t in truth]
     index = toxicity.fit(list(range(900)), [t.encode() for t in texts], truth)
-    assert {b"vile", b"awful", b"rotten", b"stinker"} <= set(index.terms)
+    assert {b"vile", b"awful", b"rotten", b"stinker", *(w.encode() for w in words)} <= set(index.terms)  # the whole vocabulary
+    assert len(index.keys) == 720 and 0 < index.labels.sum() < 720  # both labels; a fifth calibrates
     dense = np.zeros((len(index.keys), len(index.terms)))
     for row, key in enumerate(index.keys.tolist()):
         at, w = index.vector(toxicity.term_counts(texts[key].encode()))
         dense[row, at] = w
-    for _ in range(100):
-        at, w = index.vector(toxicity.term_counts(make(1).encode()))
+    for n in range(200):
+        at, w = index.vector(toxicity.term_counts(make(n % 2).encode()))
         q = np.zeros(len(index.terms))
         q[at] = w
         found, cosine = index.nearest(at, w)

@@ -13,14 +13,17 @@ density, SIGIR 2011). This runs over the whole body of every page. An article or
 part is the core only if the densest subtree lies in it and it is as dense as the body.
 
 What a page marks as something else (navigation, adverts, forms, comments, ...)
-is left out before any density is computed.
+is left out before any density is computed. A name (``class="related-work"``) or a form
+alone doesn't decide: the part stays if it has most of the page's text beside links.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,10 +43,16 @@ NOISE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|footer|masthead|site-header|page-header|topbar|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|comments?|commentlist|disqus|replies|reply|respond|pagination|pager|toolbar|widget|skip-link)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Names of readers' comments, which are never the page's text, however long.
+COMMENT_NAME = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus)(?:$|[\s_-]|\d)", re.I)
+#: A part that only its name or tag marks stays if it has so many times the text beside links of all that isn't marked.
+MOST = 4
 #: An open element of the key is closed by a start tag of the value.
 BLOCK_START = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
-TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
+#: A quoted value with "<" in it must end where an attribute can end; else the quote was never closed, and the tag ends at the next ">".
+TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"<]*"|'[^'<]*'|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>]))*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
@@ -56,84 +65,117 @@ PART = 0.15
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "noise", "soft", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", noise: bool = False):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: "Node | None", noise: bool = False, soft: bool = False):
+        self.tag, self.parent, self.noise, self.soft = tag, parent, noise, soft  # soft: noise by a name or as a form only
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _marked(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in NOISE or tag == "header" and not inside_article:
-        return True
+def _marked(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is noise, and whether that rests on its name only (or its being a form)."""
+    if tag in NOISE and tag != "form" or tag == "header" and not inside_article:
+        return True, False
+    soft = tag == "form"
     if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return soft, soft
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.strip().lower() in NOISE_ROLES or name in ("class", "id") and NOISE_NAME.search(value) or name == "aria-hidden" and value == "true":
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|/|$)", ATTRIBUTE.sub(" ", attributes), re.I))
+        if name == "role" and value.strip().lower() in NOISE_ROLES or name == "aria-hidden" and value == "true":
+            return True, False
+        if name in ("class", "id"):
+            if COMMENT_NAME.search(value):
+                return True, False
+            soft = soft or bool(NOISE_NAME.search(value))
+    if re.search(r"(?:^|\s)hidden(?:\s|/|$)", ATTRIBUTE.sub(" ", attributes), re.I):
+        return True, False
+    return soft, soft
+
+
+class _Open:
+    """The open elements of a page that is parsed: the innermost one, and how many there are of each tag."""
+
+    def __init__(self, root: Node):
+        self.root = self.node = root
+        self.count: Counter = Counter()
+
+    def enter(self, node: Node) -> None:
+        self.node = node
+        self.count[node.tag] += 1
+
+    def back_to(self, node: Node) -> None:
+        while self.node is not node:
+            self.count[self.node.tag] -= 1
+            self.node = self.node.parent
+
+    def any(self, tags) -> bool:
+        return any(self.count[t] for t in tags)
 
 
 def parse(page: str) -> Node:
     """The page's tree, leniently: unclosed and stray tags do no harm."""
-    root = node = Node("html", None)
-    at, end, main_seen = 0, len(page), False
+    root = Node("html", None)
+    open_, at, end, main_seen, some_soft = _Open(root), 0, len(page), False, False
     while at < end:
         m = TOKEN.search(page, at)
         start = m.start() if m else end
         if start > at:
-            node.children.append(html.unescape(page[at:start]) if "&" in page[at:start] else page[at:start])
+            open_.node.children.append(html.unescape(page[at:start]) if "&" in page[at:start] else page[at:start])
         if not m:
             break
         at = m.end()
-        tag = m[2]
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
         tag = tag.lower()
-        if m[1]:
-            open_ = node
-            while open_ is not root and open_.tag != tag:
-                if open_.tag in ("table", "article", "body") and tag in INLINE | {"p", "li"}:
-                    open_ = root
+        if closing:
+            if not open_.count[tag]:
+                continue
+            for x in _path(open_.node):
+                if x.tag == tag:
+                    if x is not root:
+                        open_.back_to(x.parent)
+                    break
+                if x.tag in ("table", "article", "body") and tag in INLINE | {"p", "li"}:
                     break
-                open_ = open_.parent
-            if open_ is not root:
-                node = open_.parent
             continue
-        if tag in ("html", "body") and (tag == "html" or any(x.tag == "body" for x in _path(node))):
+        if tag == "html" or tag == "body" and open_.count["body"]:
             continue
         if tag in BLOCK_START:  # ends an open paragraph, with what is open in it
-            for x in _path(node):
-                if x.tag == "p":
-                    node = x.parent
-                    break
-                if x.tag not in INLINE:
-                    break
-            if tag[0] == "h" and node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                node = node.parent
+            if open_.count["p"]:
+                for x in _path(open_.node):
+                    if x.tag == "p":
+                        open_.back_to(x.parent)
+                        break
+                    if x.tag not in INLINE:
+                        break
+            if tag in HEADINGS and open_.node.tag in HEADINGS:
+                open_.back_to(open_.node.parent)
         elif tag in CLOSES:
             ends, stop = CLOSES[tag]
-            for x in _path(node):
-                if x.tag in stop:
-                    break
-                if x.tag in ends:
-                    node = x.parent
-                    if tag not in ("tr", "tbody", "tfoot"):
+            if open_.any(ends):
+                for x in _path(open_.node):
+                    if x.tag in stop:
                         break
+                    if x.tag in ends:
+                        open_.back_to(x.parent)
+                        if tag not in ("tr", "tbody", "tfoot"):
+                            break
         elif tag == "body":
-            while node is not root:
-                node = node.parent
-        inside = "header" == tag and any(x.tag in ("article", "main") for x in _path(node))
-        new = Node(tag, node, _marked(tag, m[3], inside))
+            open_.back_to(root)
+        noise, soft = _marked(tag, attributes, tag == "header" and open_.any(("article", "main")))
+        node = open_.node
+        new = Node(tag, node, noise, soft)
+        some_soft = some_soft or soft
         if tag in ("article", "main") and not new.noise and not main_seen:
-            main_seen = True  # a wrapper such as class="has-sidebar" is no noise if the main part lies in it
+            main_seen = True  # a wrapper such as class="has-sidebar", or a form around the page, is no noise if the main part lies in it
             for x in _path(node):
-                x.noise = x.noise and x.tag in NOISE
+                if x.noise and (x.tag not in NOISE or x.tag == "form"):
+                    x.noise = x.soft = False
         node.children.append(new)
-        if tag in VOID or m[3].endswith("/") and tag not in INLINE and tag not in BLOCK_START:
+        if tag in VOID or attributes.endswith("/") and tag not in INLINE and tag not in BLOCK_START:
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -141,10 +183,50 @@ def parse(page: str) -> Node:
                 new.children.append(html.unescape(page[at : close.start() if close else end]))
             at = close.end() if close else end
             continue
-        node = new
+        open_.enter(new)
+    if some_soft:
+        _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Parts that only their name marks (or their being a form) stay if they have most of the text.
+
+    The one with most text beside links is looked at first, those inside a part once it stays.
+    """
+    order, todo = [], [(root, False)]
+    full: dict[int, int] = {}  # text beside links, without what is noise for sure
+    plain: dict[int, int] = {}  # the same outside of marked parts below
+    while todo:
+        node, link = todo.pop()
+        link = link or node.tag == "a"
+        order.append(node)
+        full[id(node)] = plain[id(node)] = 0 if link else sum(len(x) - x.count(" ") - x.count("\n") for x in node.children if isinstance(x, str))
+        todo.extend((x, link) for x in node.children if not isinstance(x, str) and (not x.noise or x.soft))
+    inside: dict[int, list[Node]] = {id(root): []}  # of each marked part (and the root) the marked ones next below
+    holder: dict[int, Node] = {id(root): root}
+    for node in order[1:]:
+        up = holder[id(node.parent)]
+        if node.soft:
+            inside[id(up)].append(node)
+            inside[id(node)] = []
+        holder[id(node)] = node if node.soft else up
+    for node in reversed(order[1:]):
+        full[id(node.parent)] += full[id(node)]
+        if not node.soft:
+            plain[id(node.parent)] += plain[id(node)]
+    rest = plain[id(root)]
+    heap = [(-full[id(x)], i, x) for i, x in enumerate(inside[id(root)])]
+    heapq.heapify(heap)
+    while heap:
+        size, _, node = heapq.heappop(heap)
+        if size and -size >= MOST * rest:
+            node.noise = False
+            rest += plain[id(node)]
+            for x in inside[id(node)]:
+                heapq.heappush(heap, (-full[id(x)], len(order) + len(heap), x))
+
+
 def _path(node: Node | None):
     while node is not None:
         yield node
@@ -293,8 +375,9 @@ def extract_main_text(pages: DataFrame, html_column: str = "html", keep: tuple[s
     """``keep`` columns, ``text`` (empty if the page has none) and ``n_chars`` (its code points).
 
     One row for each row of ``pages``, repeated and null ones too; a null page is
-    empty. Pages are independent: no exchange. Other columns are not read, whatever
-    their names.
+    empty; an empty table gives no rows. Of equally dense parts the first counts. Pages of
+    any length are read whole, in time linear in their nodes. Pages are independent: no
+    exchange. Other columns are not read, whatever their names.
     """
     fields = [pages.schema[k] for k in keep]
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
