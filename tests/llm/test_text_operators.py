@@ -228,30 +228,49 @@ def test_licences(spark):
     texts = [None, "", *lines, "a\n" + "\n".join(lines) + "\nb", *(x + " Onthe ander thatti." for x in lines), "word " * 20_000 + "\nReleased under the MIT License."]
     df = docs(spark, texts).withColumn("licences", F.lit("clash"))
     known = licences.templates()
-    for r in licences.find_licences(df).collect():
+    for r in licences.find_licences(df).collect():  # every line, whatever words it has
         want = []
         for k, line in enumerate((r["text"] or "").split("\n")):
-            if re.search(licences.ANCHOR, line) and (p := m.probabilities(line)).argmax() < len(m.families) - 1 and p.max() >= m.threshold:
+            if len(licences.words_of(line)) <= licences.WINDOW and (p := m.probabilities(line)).argmax() < len(m.families) - 1 and p.max() >= m.threshold:
                 family = m.families[p.argmax()]
                 own = set(licences.zip_pairs(licences.words_of(line)))
                 share = max(len(own & set(licences.zip_pairs(licences.words_of(t)))) / max(1, len(own)) for t in known[family])
                 want.append((k, family, round(float(p.max()), 9), round(share, 9), share >= licences.CONFIRM))
-        assert [(x["paragraph"], x["family"], round(x["probability"], 9), round(x["overlap"], 9), x["confirmed"]) for x in r["licences"]] == want
-    got = {r["doc_id"]: [x["family"] for x in r["licences"] if x["confirmed"]] for r in licences.find_licences(df).collect()}
+        assert [(x["paragraph"], x["family"], round(x["probability"], 9), round(x["overlap"], 9), x["confirmed"]) for x in r["licences"] if not x["wrapped"]] == want
+    got = {r["doc_id"]: [x["family"] for x in r["licences"] if x["confirmed"] and not x["wrapped"]] for r in licences.find_licences(df).collect()}
     assert got[12] == ["gpl", "reserved", "cc-by-nc", "mit", "apache"] and got[0] == got[1] == got[7] == []
     plan = licences.find_licences(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan.replace("mapInArrow", "")
+    assert licences.find_licences(df.limit(0)).count() == 0
 
 
 def test_every_licence_template_is_classified(spark):
     known = [(f, t) for f, lines in licences.templates().items() for t in lines]
-    assert all(re.search(licences.ANCHOR, t) and re.search(licences.ANCHOR, licences.ascii_lower(t)) for _, t in known)
-    rng = random.Random(9)
-    for _, t in known:  # and so do lines with half of a template's word pairs
-        pairs = sorted(set(licences.zip_pairs(licences.words_of(t))))
-        assert re.search(licences.ANCHOR, " | ".join(x.replace(" ", ",  ") for x in rng.sample(pairs, -(-len(pairs) // 2))))
     got = {r["doc_id"]: r["licences"] for r in licences.find_licences(docs(spark, [t for _, t in known])).collect()}
     assert all([x["family"] for x in got[i]] == [f] for i, (f, _) in enumerate(known))
+    m, rng = licences.model(), random.Random(9)
+    words = set(licences.known_words())
+    for _ in range(300):  # what is passed over is unknown
+        line = " ".join(rng.choice([*licences.COMMON, "onthe", "ander", "été"]) for _ in range(rng.randrange(80)))
+        assert not words & set(licences.words_of(line)) and not licences.features(line) and m.probabilities(line).argmax() == len(m.families) - 1
+
+
+def test_licences_of_held_out_templates():
+    train, held = licences.held_out()
+    assert not {s for _, _, s in train} & {s for _, _, s in held}
+    m = licences.model(whole=False)
+    right = [(m.families[p.argmax()] if (p := m.probabilities(t)).max() >= m.threshold else "unknown") == f for t, f, _ in held]
+    assert sum(f != "unknown" for _, f, _ in held) > 400 and sum(right) >= 0.97 * len(held)
+
+
+def test_wrapped_licences(spark):
+    mit = next(t for t in licences.templates()["mit"] if t.startswith("Permission"))
+    bsd = next(t for t in licences.templates()["bsd"] if t.startswith("Redistributions in binary"))
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    texts = [f"intro of it\n\n \t\n{wrap(mit, 5)}\n\nend", f"a\r\n\r\n{wrap(bsd, 3)}\r\nb", "Released under the MIT License.\nbananas\n\nthe end"]
+    df = docs(spark, texts).withColumn("licences", F.lit("clash"))
+    got = {r["doc_id"]: [(x["paragraph"], x["family"]) for x in r["licences"] if x["wrapped"]] for r in licences.find_licences(df).collect()}
+    assert got == {0: [(3, "mit")], 1: [(2, "bsd")], 2: []}
 
 
 def test_words_around_a_licence_do_not_unconfirm_it(spark, tmp_path):

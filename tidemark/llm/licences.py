@@ -1,11 +1,17 @@
 """Licence families of paragraphs, by a classifier that is trained here.
 
-A sparse logistic regression over hashed word n-grams (one to three words, presence)
-gives each candidate paragraph a family or "unknown"; its temperature and threshold are
-set on texts held out of training. Longer lines are classified in windows. A prediction
-is compared with the family's templates in two ways: the share of the paragraph's word
-pairs that one of them has, and the share of a template's pairs that the paragraph holds,
-which words around a licence don't lessen.
+A sparse logistic regression over word n-grams (one to three words, presence; those that
+occur in the texts below and aren't made of common words only) gives each paragraph a
+family or "unknown"; its temperature and threshold are set on templates held out of
+training. Paragraphs are the lines of a text; where several lines stand together, their
+words are also classified in windows across the lines, for notices that are wrapped.
+Longer lines are classified in windows too. A prediction is compared with the family's
+templates in two ways: the share of the paragraph's word pairs that one of them has, and
+the share of a template's pairs that the paragraph holds, which words around a licence
+don't lessen.
+
+A paragraph without any word of the model's n-grams has no features, which is classified
+as unknown: such paragraphs are passed over, and nothing is lost by that.
 
 Training happens on the driver over the fixed texts below (some hundred short
 paragraphs). Scoring uses SQL functions only: the weights are an array literal, and
@@ -15,7 +21,6 @@ the hash (xxhash64, seed 42) is the one that Spark computes.
 from __future__ import annotations
 
 import json
-import math
 import random
 import re
 from collections import Counter
@@ -28,11 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hashed features.
-FEATURES = 4096
-#: Words of licences. ANCHOR below adds word pairs of the templates to them.
-ANCHOR_WORDS = r"licen[cs]|copyright|rights reserved|public domain|warrant|redistribut|permission|creativecommons|spdx|\bcc[ -](by|0)"
-#: Words so common that a pair of two of them is the last to become an anchor.
+#: Hashed features, and steps and momentum of the descent.
+FEATURES, STEPS, MOMENTUM = 4096, 300, 0.9
+#: Words so common that n-grams of them alone are no features.
 COMMON = frozenset("a all an and any are as at be but by can do for from has have if in into is it its may must no not of on one or other shall should so such that the this to under use used was were which will with without you your 0 1 2 3 4".split())
 #: Word pairs of a paragraph that a template has to share, or of a template that a paragraph has to hold.
 CONFIRM = 0.5
@@ -83,10 +86,24 @@ def ascii_lower(text: str) -> str:
     return text.translate({c: c + 32 for c in range(65, 91)})
 
 
+def grams_of(words: list[str]) -> set[str]:
+    return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+
+
+@lru_cache(maxsize=1)
+def known_grams() -> frozenset[str]:
+    """The n-grams that are features: those of the templates and of OTHERS with a word that isn't common."""
+    return frozenset(g for t in [*(x for lines in templates().values() for x in lines), *OTHERS] for g in grams_of(words_of(t)) if not COMMON.issuperset(g.split()))
+
+
+def known_words() -> list[str]:
+    """Words of which any feature has one."""
+    return sorted({w for g in known_grams() for w in g.split()} - COMMON)
+
+
 def features(text: str) -> list[int]:
-    """Distinct hashed n-grams of one to three words."""
-    w = words_of(text)
-    grams = {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+    """Distinct hashed n-grams of one to three words, of those that are features."""
+    grams = grams_of(words_of(text)) & known_grams()
     return sorted({(x - (1 << 64) if (x := xxhash.xxh64_intdigest(g.encode(), 42)) >> 63 else x) % FEATURES for g in grams})
 
 
@@ -112,38 +129,8 @@ def templates() -> dict[str, list[str]]:
     return out
 
 
-def anchor() -> str:
-    """The expression that a line must match to be classified, from the templates.
-
-    It has so many word pairs of each template that no line with a share of CONFIRM of
-    its pairs is without one: every template matches, and every line that holds one.
-    """
-    need: list[tuple[set[str], int]] = []
-    word = re.compile(f"(?i){ANCHOR_WORDS}")
-    for line in [*(t for lines in templates().values() for t in lines), *(n for names in NAMES.values() for n in names)]:
-        pairs = set(zip_pairs(words_of(line)))
-        free = {p for p in pairs if not word.search(p.replace(" ", ", "))}  # whatever is between the words
-        # Pairs that may stay without an anchor: fewer than make up the share.
-        more = len(free) - (math.ceil(len(pairs) * CONFIRM) - 1)
-        if pairs and more > 0:
-            need.append((free, more))
-    chosen: set[str] = set()
-    while need := [(free - chosen, more - len(free & chosen)) for free, more in need if more > len(free & chosen)]:
-        gain = Counter(p for free, _ in need for p in free)
-        chosen.add(min(gain, key=lambda p: (set(p.split()) <= COMMON, -gain[p], p)))
-    by: dict[str, list[str]] = {}
-    for p in sorted(chosen):
-        a, b = p.split()
-        by.setdefault(a, []).append(re.escape(b))
-    first: dict[str, list[str]] = {}
-    for a, b in by.items():
-        first.setdefault(a[0], []).append(f"{re.escape(a[1:])}[^0-9a-zA-Z]+(?:{'|'.join(b)})")
-    pairs = "|".join(f"{re.escape(c)}(?:{'|'.join(x)})" for c, x in first.items())
-    return f"(?i){ANCHOR_WORDS}|(?<![0-9a-zA-Z])(?:{pairs})(?![0-9a-zA-Z])"
-
-
-def examples(seed: int = 7) -> list[tuple[str, str]]:
-    """(text, family) for training: templates, some with words around them, and what is none."""
+def examples(seed: int = 7) -> list[tuple[str, str, str]]:
+    """(text, family, source) for training: templates, some with words around them, and what is none. The source is what a text is made of."""
     rng, known = random.Random(seed), templates()
     filler = sorted({w for x in OTHERS for w in words_of(x)} | set("the of and to in is was for with on that this from by are an".split()))
     invented = ["".join(rng.choice("aeiou") + rng.choice("bcdfglmnprst") for _ in range(rng.randint(1, 4))) for _ in range(300)]
@@ -151,46 +138,69 @@ def examples(seed: int = 7) -> list[tuple[str, str]]:
     rows = []
     for family, lines in known.items():
         for line in lines:
-            rows.append((line, family))
-            rows.append((f"{run(invented, rng.randint(1, 6))} {line}", family))
-            rows.append((f"{line} {run(invented + filler, rng.randint(1, 6))}", family))
+            rows.append((line, family, line))
+            rows.append((f"{run(invented, rng.randint(1, 6))} {line}", family, line))
+            rows.append((f"{line} {run(invented + filler, rng.randint(1, 6))}", family, line))
     for line in OTHERS:
-        rows += [(line, "unknown")] * 3 + [(f"{run(invented + filler, 5)} {line}", "unknown")] * 2
-    for word, _ in product(("license", "licence", "licensed", "copyright", "warranty", "permission", "warrant", "redistribute", "rights", "public domain", "mit", "version", "the", "apache", "general", "commons", "software", "terms"), range(12)):
-        rows.append((f"{run(filler + invented, rng.randint(0, 9))} {word} {run(filler + invented, rng.randint(0, 9))}", "unknown"))
+        rows += [(line, "unknown", line)] * 3 + [(f"{run(invented + filler, 5)} {line}", "unknown", line)] * 2
+    for word, n in product(("license", "licence", "licensed", "copyright", "warranty", "permission", "warrant", "redistribute", "rights", "public domain", "mit", "version", "the", "apache", "general", "commons", "software", "terms", ""), range(12)):
+        rows.append((f"{run(filler + invented, rng.randint(0, 9))} {word} {run(filler + invented, rng.randint(0, 9))}", "unknown", f"{word} {n}"))
+    rows += [("", "unknown", "")] * 20
     return rows
 
 
-@lru_cache(maxsize=1)
-def model() -> LicenceModel:
-    """The classifier, trained on four fifths of ``examples``; the rest sets temperature and threshold."""
-    rows = examples()
-    families = (*sorted({f for _, f in rows} - {"unknown"}), "unknown")
-    order = list(range(len(rows)))
-    random.Random(11).shuffle(order)
-    cut = len(order) * 4 // 5
-    x = np.zeros((len(rows), FEATURES), np.float32)
-    for i, (text, _) in enumerate(rows):
-        x[i, features(text)] = 1
-    y = np.array([families.index(f) for _, f in rows])
-    train, held = np.array(order[:cut]), np.array(order[cut:])
-    used = np.flatnonzero(x[train].any(axis=0))  # sparse: no weight for a feature never seen
-    a, target = x[np.ix_(train, used)], np.eye(len(families), dtype=np.float32)[y[train]]
-    w, b = np.zeros((len(families), len(used)), np.float32), np.zeros(len(families), np.float32)
-    share = target.sum(axis=0)
-    each = (target / share).sum(axis=1, keepdims=True) * len(train) / len(families)  # families weigh alike
-    step = 4.0 / (a.sum(axis=1).mean() + 1)
-    for _ in range(400):
-        z = a @ w.T + b
+def _fit(rows: list[tuple[list[int], int]], families: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias from (features, family) by gradient descent; families weigh alike; no weight for a feature never seen."""
+    often = Counter((tuple(f), y) for f, y in rows)  # equal rows count as one of their weight
+    found, y, n = [f for f, _ in often], np.array([y for _, y in often]), np.array(list(often.values()), float)
+    used, feature = np.unique(np.concatenate([np.array(f, np.int64) for f in found]), return_inverse=True)
+    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    by_feature = np.argsort(feature, kind="stable")
+    full, row_starts = np.unique(row, return_index=True)  # rows without features have the bias only
+    feature_starts = np.searchsorted(feature[by_feature], np.arange(len(used)))
+    target = np.eye(families)[y]
+    each = (n / np.bincount(y, n, minlength=families)[y] / families)[:, None]
+    w, b = np.zeros((len(used), families)), np.zeros(families)
+    v, c = w, b
+    step = 4.0 * n.sum() / (len(row) * n.sum() / len(n) + n.sum())
+    for _ in range(STEPS):
+        z = np.tile(b, (len(found), 1))
+        z[full] += np.add.reduceat(w[feature], row_starts)
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        g = (p / p.sum(axis=1, keepdims=True) - target) * each / len(train)
-        w -= step * (g.T @ a + 1e-4 * w)
-        b -= step * g.sum(axis=0)
-    z = x[np.ix_(held, used)] @ w.T + b
+        g = (p / p.sum(axis=1, keepdims=True) - target) * each
+        v = MOMENTUM * v - step * (np.add.reduceat(g[row][by_feature], feature_starts) + 1e-5 * w)
+        c = MOMENTUM * c - step * g.sum(axis=0)
+        w, b = w + v, b + c
+    weights = np.zeros((families, FEATURES))
+    weights[:, used] = np.where(np.abs(w) < 0.02, 0, np.round(w, 4)).T
+    return weights, np.round(b, 5)
+
+
+def held_out() -> tuple[list[tuple[str, str, str]], list[tuple[str, str, str]]]:
+    """The examples by source, four fifths and the rest: no template is in both."""
+    rows = examples()
+    sources = sorted({s for _, _, s in rows})
+    random.Random(11).shuffle(sources)
+    apart = set(sources[len(sources) * 4 // 5 :]) - {""}
+    return [r for r in rows if r[2] not in apart], [r for r in rows if r[2] in apart]
+
+
+@lru_cache(maxsize=2)
+def model(whole: bool = True) -> LicenceModel:
+    """The classifier. Fitted on four fifths of the templates, the others set temperature and threshold; then (``whole``) fitted on all."""
+    train, held = held_out()
+    families = (*sorted({f for _, f, _ in train + held} - {"unknown"}), "unknown")
+
+    def encoded(rows):
+        return [(features(text), families.index(f)) for text, f, _ in rows]
+
+    w, b = _fit(encoded(train), len(families))
+    y = np.array([families.index(f) for _, f, _ in held])
+    z = np.array([w[:, features(text)].sum(axis=1) + b for text, _, _ in held])
 
     def loss(t: float) -> float:
         p = np.exp((z - z.max(axis=1, keepdims=True)) / t)
-        return float(-np.log((p / p.sum(axis=1, keepdims=True))[np.arange(len(held)), y[held]] + 1e-12).mean())
+        return float(-np.log((p / p.sum(axis=1, keepdims=True))[np.arange(len(y)), y] + 1e-12).mean())
 
     temperature = min((0.25 * k for k in range(1, 17)), key=loss)
     p = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
@@ -198,10 +208,12 @@ def model() -> LicenceModel:
     top, sure = p.argmax(axis=1), p.max(axis=1)
     unknown = len(families) - 1
     # The threshold with the fewest held-out errors, where what is below it counts as unknown; ties: the higher.
-    threshold = max((0.05 * k for k in range(6, 19)), key=lambda t: (-int((np.where(sure >= t, top, unknown) != y[held]).sum()), t))
-    weights = np.zeros((len(families), FEATURES))
-    weights[:, used] = np.where(np.abs(w) < 0.02, 0, np.round(w, 4))
-    return LicenceModel(families, weights, np.round(b, 5).astype(float), temperature, threshold)
+    threshold = max((0.05 * k for k in range(6, 19)), key=lambda t: (-int((np.where(sure >= t, top, unknown) != y).sum()), t))
+    if whole:
+        w, b = _fit(encoded(train + held), len(families))
+    if b.argmax() != unknown:
+        raise ValueError("a paragraph without features must be unknown")
+    return LicenceModel(families, w, b, temperature, threshold)
 
 
 def _literal(value, kind: str):
@@ -222,11 +234,15 @@ def find_licences(documents: DataFrame, text: str = "text") -> DataFrame:
 
     paragraph (its number among the text's lines, from 0), family, probability, overlap
     (largest share of its word pairs in a template of the family), confirmed (overlap of
-    CONFIRM or more) and contained (largest share of a template's word pairs that it holds,
-    of templates of which it holds a pair that no other family has). For a line of more than WINDOW words
-    they are those of the family's best window. Lines that don't match ANCHOR and lines classified as
-    unknown are left out; a null or empty text gives an empty array. SQL functions
-    only, rows are independent: no exchange. A column named licences is replaced.
+    CONFIRM or more), contained (largest share of a template's word pairs that it holds,
+    of templates of which it holds a pair that no other family has) and wrapped. For a line
+    of more than WINDOW words they are those of the family's best window. A family that only
+    shows across lines that stand together (``wrapped``) is given with the number of the
+    first of these lines, if it is confirmed or contained. Paragraphs classified as unknown
+    are left out. By wrapped, then paragraph, then family. A null or empty text gives an
+    empty array; repeated rows give the same; an empty table gives no rows. Of families
+    with equal scores the first by name counts. SQL functions only, rows are independent:
+    no exchange. A column named licences is replaced.
     """
     m = model()
     names, unknown = list(m.families), len(m.families) - 1
@@ -237,40 +253,49 @@ def find_licences(documents: DataFrame, text: str = "text") -> DataFrame:
     compared = _literal(pairs, "array<array<array<string>>>")
     families = Counter(p for f in pairs for p in {p for t in f for p in t})
     alone = _literal([[[p for p in t if families[p] == 1] for t in f] for f in pairs], "array<array<array<string>>>")
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    lines = F.transform(F.split(F.coalesce(lower, F.lit("")), "\n", -1), lambda x, i: F.struct(i.cast("int").alias("paragraph"), x.alias("line")))
-    lines = F.filter(lines, lambda x: x["line"].rlike(ANCHOR))
+    vocabulary, grams = known_words(), sorted(known_grams())
+    pieces = F.col("_licence_pieces")  # runs of lines that stand together
+    lower = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = lambda x: F.filter(F.split(x, "[^0-9a-z\\x{80}-\\x{10ffff}]+"), lambda w: F.length(w) > 0)
+    any_known = lambda words: F.exists(words, lambda w: w.isin(vocabulary))
     # Each step is a column of its own: an expression used twice would be computed twice.
-    step = documents.drop("licences").withColumn("licences", F.when(F.col(text).rlike(ANCHOR), F.transform(lines, lambda x: F.struct(x["paragraph"].alias("paragraph"), split(x["line"]).alias("words")))))
+    step = documents.drop("licences").withColumn("_licence_pieces", F.split(F.regexp_replace(lower, "\n[ \t\r\f\x0B]+(?=\n)", "\n"), "\n\n", -1))
+    step = step.withColumn("licences", F.filter(F.transform(pieces, lambda x, j: F.struct(j.cast("int").alias("piece"), split(x).alias("words"))), lambda x: any_known(x["words"])))
+    lines = lambda x: F.filter(F.transform(F.split(F.get(pieces, x["piece"]), "\n", -1), lambda line, i: F.struct(x["piece"].alias("piece"), i.cast("int").alias("line"), F.lit(False).alias("wrapped"), split(line).alias("words"))), lambda x: any_known(x["words"]))
+    across = lambda x: F.when(F.get(pieces, x["piece"]).rlike("[^\\s]\\s*\n\\s*[^\\s]"), F.array(F.struct(x["piece"].alias("piece"), F.length(F.regexp_extract(F.get(pieces, x["piece"]), "^\\n*", 0)).alias("line"), F.lit(True).alias("wrapped"), x["words"].alias("words")))).otherwise(F.array().cast("array<struct<piece:int,line:int,wrapped:boolean,words:array<string>>>"))
+    step = step.withColumn("licences", F.flatten(F.transform("licences", lambda x: F.concat(lines(x), across(x)))))
     starts = lambda words: F.sequence(F.lit(0), F.floor((F.greatest(F.lit(1), F.size(words) - WINDOW + STEP) - 1) / STEP).cast("int"))
-    step = step.withColumn("licences", F.flatten(F.transform("licences", lambda x: F.transform(starts(x["words"]), lambda i: F.struct(x["paragraph"].alias("paragraph"), (F.size(x["words"]) > WINDOW).alias("cut"), F.slice(x["words"], i * STEP + 1, WINDOW).alias("words"))))))
-    step = step.withColumn("licences", F.filter("licences", lambda x: ~x["cut"] | F.array_join(x["words"], " ").rlike(ANCHOR)))
-    at = lambda words: F.array_distinct(F.transform(F.concat(_grams(words, 1), _grams(words, 2), _grams(words, 3)), lambda g: F.pmod(F.xxhash64(g), F.lit(FEATURES)).cast("int")))
-    step = step.withColumn("licences", F.transform("licences", lambda x: F.struct(x["paragraph"].alias("paragraph"), F.array_distinct(_grams(x["words"], 2)).alias("pairs"), at(x["words"]).alias("features"))))
+    where = lambda x: (x["piece"].alias("piece"), x["line"].alias("line"), x["wrapped"].alias("wrapped"))
+    step = step.withColumn("licences", F.flatten(F.transform("licences", lambda x: F.transform(starts(x["words"]), lambda i: F.struct(*where(x), F.slice(x["words"], i * STEP + 1, WINDOW).alias("words"))))))
+    step = step.withColumn("licences", F.filter("licences", lambda x: any_known(x["words"])))
+    at = lambda words: F.array_distinct(F.transform(F.filter(F.concat(_grams(words, 1), _grams(words, 2), _grams(words, 3)), lambda g: g.isin(grams)), lambda g: F.pmod(F.xxhash64(g), F.lit(FEATURES)).cast("int")))
+    step = step.withColumn("licences", F.transform("licences", lambda x: F.struct(*where(x), x["words"].alias("words"), at(x["words"]).alias("features"))))
 
     def score(found, k: int):
         return F.aggregate(found, F.lit(bias[k]), lambda a, i: a + F.get(F.get(weights, F.lit(k)), i)) / m.temperature
 
     scores = lambda found: F.array(*(score(found, k) for k in range(len(names))))
-    step = step.withColumn("licences", F.transform("licences", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["pairs"].alias("pairs"), scores(x["features"]).alias("z"))))
-    step = step.withColumn("licences", F.transform("licences", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["pairs"].alias("pairs"), (F.array_position(x["z"], F.array_max(x["z"])) - 1).cast("int").alias("top"), (F.lit(1.0) / F.aggregate(x["z"], F.lit(0.0), lambda a, z: a + F.exp(z - F.array_max(x["z"])))).alias("probability"))))
+    step = step.withColumn("licences", F.transform("licences", lambda x: F.struct(*where(x), x["words"].alias("words"), scores(x["features"]).alias("z"))))
+    step = step.withColumn("licences", F.transform("licences", lambda x: F.struct(*where(x), x["words"].alias("words"), (F.array_position(x["z"], F.array_max(x["z"])) - 1).cast("int").alias("top"), (F.lit(1.0) / F.aggregate(x["z"], F.lit(0.0), lambda a, z: a + F.exp(z - F.array_max(x["z"])))).alias("probability"))))
     step = step.withColumn("licences", F.filter("licences", lambda x: (x["top"] != unknown) & (x["probability"] >= m.threshold)))
+    before = lambda x: F.aggregate(F.slice(pieces, 1, x["piece"]), F.lit(0), lambda a, p: a + F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + 2)  # noqa: E731  lines before a piece
+    step = step.withColumn("licences", F.transform("licences", lambda x: F.struct(*where(x), (before(x) + x["line"]).alias("paragraph"), F.array_distinct(_grams(x["words"], 2)).alias("pairs"), x["top"].alias("top"), x["probability"].alias("probability"))))
     overlap = lambda x: F.coalesce(F.array_max(F.transform(F.get(compared, x["top"]), lambda t: F.size(F.array_intersect(x["pairs"], t)) / F.greatest(F.lit(1), F.size(x["pairs"])))), F.lit(0.0))
     contained = lambda x: F.coalesce(F.array_max(F.zip_with(F.get(compared, x["top"]), F.get(alone, x["top"]), lambda t, own: F.when(F.arrays_overlap(x["pairs"], own), F.size(F.array_intersect(x["pairs"], t)) / F.greatest(F.lit(1), F.size(t))))), F.lit(0.0))
-    step = step.withColumn("licences", F.transform("licences", lambda x: F.struct(x["paragraph"].alias("paragraph"), x["top"].alias("top"), x["probability"].alias("probability"), overlap(x).alias("overlap"), contained(x).alias("contained"))))
+    step = step.withColumn("licences", F.transform("licences", lambda x: F.struct(*where(x), x["paragraph"].alias("paragraph"), x["top"].alias("top"), x["probability"].alias("probability"), overlap(x).alias("overlap"), contained(x).alias("contained"))))
     # The windows of a paragraph with one family side by side, the best of them first.
-    rank = lambda x: F.struct(x["paragraph"].alias("paragraph"), x["top"].alias("top"), (F.greatest(x["overlap"], x["contained"]) < CONFIRM).alias("unsure"), (-x["probability"]).alias("order"), (-x["contained"]).alias("less"), x["probability"].alias("probability"), x["overlap"].alias("overlap"), x["contained"].alias("contained"))
+    rank = lambda x: F.struct(x["wrapped"].alias("wrapped"), x["paragraph"].alias("paragraph"), x["top"].alias("top"), (F.greatest(x["overlap"], x["contained"]) < CONFIRM).alias("unsure"), (-x["probability"]).alias("order"), (-x["contained"]).alias("less"), x["probability"].alias("probability"), x["overlap"].alias("overlap"), x["contained"].alias("contained"), x["piece"].alias("piece"))
     step = step.withColumn("licences", F.array_sort(F.transform("licences", rank)))
-    before = lambda i: F.get("licences", i - 1)
-    step = step.withColumn("licences", F.filter("licences", lambda x, i: (i == 0) | (before(i)["paragraph"] != x["paragraph"]) | (before(i)["top"] != x["top"])))
+    last = lambda i: F.get("licences", i - 1)
+    step = step.withColumn("licences", F.filter("licences", lambda x, i: (i == 0) | (last(i)["wrapped"] != x["wrapped"]) | (last(i)["paragraph"] != x["paragraph"]) | (last(i)["top"] != x["top"])))
+    # Across lines only what no line of them has by itself.
+    sure = F.transform(F.filter("licences", lambda x: ~x["wrapped"] & ~x["unsure"]), lambda x: F.struct(x["piece"].alias("piece"), x["top"].alias("top")))
+    step = step.withColumn("_licence_lines", sure)
+    step = step.withColumn("licences", F.filter("licences", lambda x: ~x["wrapped"] | ~x["unsure"] & ~F.array_contains("_licence_lines", F.struct(x["piece"].alias("piece"), x["top"].alias("top")))))
     family = F.array(*map(F.lit, names))
-    return step.withColumn("licences", F.coalesce(F.transform("licences", lambda x: F.struct(x["paragraph"].alias("paragraph"), F.get(family, x["top"]).alias("family"), x["probability"].alias("probability"), x["overlap"].alias("overlap"), (x["overlap"] >= CONFIRM).alias("confirmed"), x["contained"].alias("contained"))), F.array().cast("array<struct<paragraph:int,family:string,probability:double,overlap:double,confirmed:boolean,contained:double>>")))
+    return step.drop("_licence_pieces", "_licence_lines").withColumn("licences", F.transform("licences", lambda x: F.struct(x["paragraph"].alias("paragraph"), F.get(family, x["top"]).alias("family"), x["probability"].alias("probability"), x["overlap"].alias("overlap"), (x["overlap"] >= CONFIRM).alias("confirmed"), x["contained"].alias("contained"), x["wrapped"].alias("wrapped"))))
 
 
 def zip_pairs(words: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:])]
 
-
-#: Paragraphs are lines; those that don't match hold no template and aren't looked at.
-ANCHOR = anchor()
