@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from tidemark.errors import CapacityError, CorruptError, InvalidError, NotFound, StoreError
+from tidemark.errors import CapacityError, CorruptError, InvalidError, NotFound, Status, StoreError, last_error, strerror
 from tidemark.sources.cursor import Cursor
 from tidemark.sources.store import Batch, Store
 
@@ -190,3 +190,125 @@ def test_stream(spark, tmp_path):
     assert tail(store, txn, lambda df, n: seen.append((n, df.count())), 0.05, commits=1) == txn + 1 and seen[0][1] >= 2
     manifest = json.loads(store.files.read(store._name(store.txn_id())))
     assert manifest["parent"] == store.txn_id() - 1
+
+
+def test_writing_goes_on_after_a_torn_manifest(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path / "t"))
+    store.write(Batch().put(1, 1, b"a"))
+    torn = tmp_path / "t" / store._name(3)
+    torn.write_text('{"format": 1, "txn"')
+    assert store.txn_id() == 2 and store.wait_for_txn(1, 0.1) == 2
+    with pytest.raises(NotFound) as e:
+        store.wait_for_txn(2, 0.02)  # the damaged one is no commit
+    assert e.value.details["txn"] == 2
+    before = store.snapshot()
+    assert store.write(Batch().put(1, 2, b"b")) == 4 and store.wait_for_txn(2, 0.1) == 4
+    assert json.loads(store.files.read(store._name(4)))["parent"] == 2
+    assert rows(store.snapshot().scan(1)) == [(1, 1, 0, b"a"), (1, 2, 0, b"b")]
+    with pytest.raises(StoreError):  # still only one writer may go on from a version
+        store._publish(before)
+    assert store.write(Batch().put(1, 3, b"c")) == 5 and store.vacuum() >= 0 and store.txn_id() == 5 and store.verify()["records"] == 3
+
+
+def test_a_fault_while_publishing_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    store = Store.open(spark, str(tmp_path / "f"))
+    store.write(Batch().put(1, 1, b"a"))
+    publish = type(store.files).publish
+
+    def fail(self, name, text, sync=True):
+        raise OSError("no space left")
+
+    monkeypatch.setattr(type(store.files), "publish", fail)
+    with pytest.raises(OSError):
+        store.write(Batch().put(1, 2, b"b"))
+    monkeypatch.setattr(type(store.files), "publish", publish)
+    assert store.txn_id() == 2 and store.snapshot().count(1) == 1
+    assert store.write(Batch().put(1, 2, b"b"), sync=False) == 3 and store.sync() == 3 and store.snapshot().count(1) == 2
+    # A backup that fails half way leaves the copy before it.
+    store.backup(str(tmp_path / "copy"))
+    store.write(Batch().put(1, 9, b"z"))
+    monkeypatch.setattr(type(store.files), "publish", fail)
+    with pytest.raises(OSError):
+        store.backup(str(tmp_path / "copy"))
+    monkeypatch.setattr(type(store.files), "publish", publish)
+    assert Store.open(spark, str(tmp_path / "copy"), "r").snapshot().count(1) == 2
+    store.backup(str(tmp_path / "copy"))
+    copy = Store.open(spark, str(tmp_path / "copy"), "r")
+    assert copy.txn_id() == store.txn_id() and copy.verify()["records"] == 3 and copy.snapshot().max_time(1) == 9
+
+
+def test_commits_and_pages_read_only_files_near_them(spark, tmp_path, monkeypatch):
+    from tidemark.sources.store import Snapshot
+
+    store = Store.open(spark, str(tmp_path / "p"))
+    for s in range(1, 6):
+        b = Batch()
+        for t in range(0, 40, 2):
+            b.put(s, t, b"x")
+        store.write(b)
+    read, frame = set(), Snapshot.frame
+
+    def watched(self, files=None):
+        read.update(f["path"] for f in (self.manifest["files"] if files is None else files))
+        return frame(self, files)
+
+    of = lambda s: {f["path"] for f in store.snapshot().files((s,), (s,))}
+    monkeypatch.setattr(Snapshot, "frame", watched)
+    mine, other = of(3), of(1) | of(2) | of(4) | of(5)
+    store.write(Batch().put(3, 41, b"y"))
+    assert not read & other
+    read.clear()
+    store.write(Batch().put(2, 41, b"y").put(4, 41, b"y"))
+    assert not read & (of(1) | mine | of(5))
+    read.clear()
+    assert store.symbol_define(9, 4) and not read
+    assert len(list(Cursor(store, 5, 0, 9, chunk=2))) == 5 and read <= of(5)
+    read.clear()
+    assert rows(store.snapshot().scan_multi([1, 5], 2, 2)) == [(1, 2, 0, b"x"), (5, 2, 0, b"x")] and read <= of(1) | of(5)
+    now = store.snapshot()
+    for symbols in ([1], [1, 5], [2, 3, 4], [7], [0, 9]):
+        for low, high in ((0, 100), (41, 50), (50, 60)):
+            met = {f["path"] for s in symbols for f in now.files((s, low), (s, high))}
+            assert {f["path"] for f in now.files_of(symbols, low, high)} == met
+
+
+def test_status_sync_stats_and_close(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "o")) as store:
+        store.write(Batch().put(1, 1, b"a").put_meta("k", b"v"), sync=False)
+        assert store.sync() == 2
+        with Cursor(store, 1) as cursor:
+            assert cursor.next()["time"] == 1 and cursor.status == Status.OK
+            assert cursor.next() is None and cursor.status == Status.NOT_FOUND
+        with pytest.raises(InvalidError):
+            cursor.next()
+        assert cursor.status == Status.INVAL and last_error() == "the cursor is closed" and strerror(Status.INVAL) == "invalid argument" and "unknown" in strerror(7)
+        stats = store.stats()
+        assert stats["records"] == 1 and 0 < stats["data_bytes"] < stats["store_bytes"] and stats["meta_bytes"] == 6 and stats["largest_file_rows"] == 1
+        kept = store.snapshot().prefetch(1)
+        assert kept.count() == 1 and kept.is_cached
+        kept.unpersist()
+    with pytest.raises(StoreError):
+        store.snapshot()
+
+
+def test_order_in_a_stream_and_rewritten_files(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from tidemark.streaming.ingest import ingest, tail
+
+    store, source, schema = Store.open(spark, str(tmp_path / "s")), str(tmp_path / "in"), "symbol long, time long, seq long, value binary, n long"
+    store.write(Batch().put(1, 1, b"old").put(1, 2, b"old"))
+    spark.createDataFrame([(1, 3, 0, b"zz", 1), (1, 3, 0, b"aa", 2), (1, 2, 0, b"new", 1)], schema).coalesce(1).write.parquet(source)
+    since = store.txn_id()
+    with pytest.raises(StreamingQueryException):
+        ingest(spark.readStream.schema(schema).parquet(source), store, "q", str(tmp_path / "c1")).awaitTermination(60)
+    assert store.txn_id() == since
+    seen = []
+    at_since = store.snapshot()
+    ingest(spark.readStream.schema(schema).parquet(source), store, "q", str(tmp_path / "c2"), order="n").awaitTermination(60)
+    assert rows(store.snapshot().scan(1)) == [(1, 1, 0, b"old"), (1, 2, 0, b"new"), (1, 3, 0, b"aa")]
+    # What a commit brought, without the old records of files that it wrote again.
+    real, calls = store.snapshot, []
+    store.snapshot = lambda: (calls.append(1), at_since if len(calls) == 1 else real())[1]
+    tail(store, since, lambda df, n: seen.extend(rows(df)), 0.05, commits=1)
+    assert sorted(seen) == [(1, 2, 0, b"new"), (1, 3, 0, b"aa")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from enum import IntEnum
 
 
@@ -14,6 +15,20 @@ class Status(IntEnum):
     INVAL = -5
 
 
+#: What each status means.
+MEANINGS = {Status.OK: "success", Status.NOT_FOUND: "not found", Status.ERROR: "input or output failed, or reading only", Status.FULL: "no room", Status.CORRUPT: "damaged", Status.INVAL: "invalid argument"}
+_last = threading.local()
+
+
+def strerror(status: int) -> str:
+    return MEANINGS[Status(status)] if status in set(Status) else f"unknown status {status}"
+
+
+def last_error() -> str:
+    """The message of the last error of this thread; empty if there was none."""
+    return getattr(_last, "message", "")
+
+
 class StoreError(Exception):
     """Input or output failed, or the store is open for reading only."""
 
@@ -22,6 +37,7 @@ class StoreError(Exception):
     def __init__(self, message: str, **details):
         super().__init__(message)
         self.details = details
+        _last.message = message
 
 
 class NotFound(StoreError):

@@ -65,5 +65,23 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(self.at(name)), True)
 
-    def copy(self, name: str, to: "Files", to_name: str) -> None:
-        self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs, self._path(self.at(name)), to.fs, to._path(to.at(to_name)), False, self.fs.getConf())
+    def move(self, to: "Files") -> None:
+        """Everything below this root to another root, where nothing is."""
+        if not self.fs.rename(self._path(self.root), self._path(to.root)):
+            raise OSError(f"{self.root} can't be moved to {to.root}")
+
+    def size(self, *names: str) -> int:
+        return sum(self.fs.getContentSummary(self._path(self.at(n))).getLength() for n in names)
+
+    def sync(self, names: list[str]) -> None:
+        """Local files to disk; other file systems have done so when a file was closed."""
+        if not self.local:
+            return
+        for name in names:
+            path = self._path(self.at(name)).toUri().getPath()
+            for at in (path, os.path.dirname(path)):
+                handle = os.open(at, os.O_RDONLY)
+                try:
+                    os.fsync(handle)
+                finally:
+                    os.close(handle)

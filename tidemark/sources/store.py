@@ -6,7 +6,8 @@ for symbols without records) and ``versions/<txn>.json``, the manifest of a comm
 its files with their row counts, key ranges and checksums, the catalog and the user
 metadata. A commit writes its files first and then publishes its manifest under the
 next number, which only one writer can do. Readers take the newest readable manifest;
-they hold no lock and keep what they have read.
+they hold no lock and keep what they have read. A manifest that can't be read takes up
+its number and nothing else: readers pass it over, the next commit goes behind it.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ import base64
 import json
 import time
 import uuid
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from decimal import Decimal
+from urllib.parse import unquote
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,6 +93,29 @@ class Snapshot:
         """Files whose key range meets [low, high]; the bounds are (leading parts of) keys."""
         return [f for f in self.manifest["files"] if (low is None or tuple(f["max"][: len(low)]) >= low) and (high is None or tuple(f["min"][: len(high)]) <= high)]
 
+    def files_of(self, symbols: list[int], low: int = 0, high: int | None = None) -> list[dict]:
+        """Files whose key range meets [low, high] of any of the symbols."""
+        high = self.store.most if high is None else high
+        listed, out = sorted(set(symbols)), []
+        for f in self.manifest["files"]:
+            # Symbols strictly inside the file's range are met whole; those at its ends by their times.
+            first, last = bisect_left(listed, f["min"][0]), bisect_right(listed, f["max"][0])
+            if any((f["min"][0] < s or f["min"][1] <= high) and (f["max"][0] > s or f["max"][1] >= low) for s in {*listed[first : min(first + 2, last)], *listed[max(first, last - 2) : last]}):
+                out.append(f)
+        return out
+
+    def files_near(self, spans: DataFrame) -> list[dict]:
+        """Files whose key range meets any of the spans (symbol, low, high); only paths reach the driver."""
+        files = self.manifest["files"]
+        if not files:
+            return []
+        key = PROFILES[self.store.profile][0].simpleString()
+        of = Decimal if self.store.profile == "u64" else int
+        ranges = self.store.spark.createDataFrame([(i, *(of(f[e][k]) for e in ("min", "max") for k in (0, 1))) for i, f in enumerate(files)], f"file int, s0 {key}, t0 {key}, s1 {key}, t1 {key}")
+        meets = F.expr("s0 <= symbol AND symbol <= s1 AND (s0 < symbol OR t0 <= high) AND (symbol < s1 OR low <= t1)")
+        hit = {r["file"] for r in ranges.join(F.broadcast(spans), meets, "left_semi").select("file").collect()}
+        return [f for i, f in enumerate(files) if i in hit]
+
     def frame(self, files: list[dict] | None = None) -> DataFrame:
         files = self.manifest["files"] if files is None else files
         schema = record_schema(self.store.profile)
@@ -128,7 +155,7 @@ class Snapshot:
         check_range(low, high)
         if not symbols:
             return merge.scan_multi(self.frame([]), symbols, low, high, reverse)
-        return merge.scan_multi(self.frame(self.files((min(symbols),), (max(symbols),))), symbols, low, high, reverse)
+        return merge.scan_multi(self.frame(self.files_of(symbols, low, high)), symbols, low, high, reverse)
 
     def read_range(self, symbol: int, low: int = 0, high: int | None = None, cap: int | None = None) -> DataFrame:
         """Values of a symbol of fixed width."""
@@ -181,8 +208,8 @@ class Snapshot:
         return base64.b64decode(self.manifest["meta"][key])
 
     def prefetch(self, symbol: int, low: int = 0, high: int | None = None) -> DataFrame:
-        """The range, persisted and read once."""
-        rows = self.scan(symbol, low, high).persist()
+        """The range, read once and kept (in memory, what doesn't fit there on disk) until ``unpersist``."""
+        rows = self.scan(symbol, low, high).persist(StorageLevel.MEMORY_AND_DISK)
         rows.count()
         return rows
 
@@ -241,6 +268,13 @@ class Store:
                 continue
         raise CorruptError(f"{self.files.root} has no readable version")
 
+    def _readable(self, txn: int) -> bool:
+        try:
+            manifest = json.loads(self.files.read(self._name(txn)))
+            return manifest["format"] == FORMAT and manifest["txn"] == txn
+        except (ValueError, KeyError, TypeError):
+            return False
+
     def snapshot(self) -> Snapshot:
         if self.closed:
             raise StoreError("the store is closed")
@@ -252,7 +286,13 @@ class Store:
     def wait_for_txn(self, last: int, timeout: float) -> int:
         """The commit counter once it differs from ``last``; NotFound (with it) after ``timeout`` seconds."""
         end, pause = time.monotonic() + timeout, 0.001
-        while (now := max(self._versions(), default=0)) == last:
+        seen, now = None, last
+        while True:
+            versions = self._versions()
+            if versions != seen:  # only then is there anything to read
+                seen, now = versions, self._newest()["txn"]
+            if now != last:
+                break
             if time.monotonic() >= end:
                 raise NotFound("no commit in time", txn=now)
             time.sleep(min(pause, max(0.0, end - time.monotonic())))
@@ -266,42 +306,46 @@ class Store:
             raise StoreError("the store is open for reading only")
         return self.snapshot()
 
-    def _stored(self, rows: DataFrame) -> list[dict]:
-        """Writes records as sorted files of disjoint key ranges; their entries for a manifest."""
-        path = f"data/{uuid.uuid4().hex}"
-        rows.select(*KEY, "value").repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.parquet(self.files.at(path))
-        written = self.spark.read.schema(record_schema(self.profile)).parquet(self.files.at(path))
+    def _facts(self, rows: DataFrame) -> dict[str, T.Row]:
+        """By file: how many records, the key range, and a checksum over all records, read as a stream."""
         key = F.struct(*KEY)
-        facts = written.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("low"), F.max(key).alias("high"))
-        sums = {r["name"]: r["sum"] for r in self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self.files.at(path)).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sum")).collect()}
-        out = []
-        for r in facts.collect():
-            name = r["file"].rsplit("/", 1)[1]
-            out.append({"path": f"{path}/{name}", "rows": r["rows"], "sha256": sums[name], "min": [_number(x) for x in r["low"]], "max": [_number(x) for x in r["high"]]})
+        total = F.sum(F.xxhash64(*KEY, "value").cast("decimal(38,0)"))
+        facts = rows.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("low"), F.max(key).alias("high"), total.cast("string").alias("sum"))
+        return {unquote(r["file"].rsplit("/data/", 1)[1]): r for r in facts.collect()}  # one row for each file
+
+    def _stored(self, rows: DataFrame, to: Files | None = None) -> list[dict]:
+        """Writes records as sorted files of disjoint key ranges; their entries for a manifest."""
+        path = (to or self.files).at(name := f"data/{uuid.uuid4().hex}")
+        rows.select(*KEY, "value").repartitionByRange(*KEY).sortWithinPartitions(*KEY).write.parquet(path)
+        facts = self._facts(self.spark.read.schema(record_schema(self.profile)).parquet(path))
+        out = [{"path": f"data/{file}", "rows": r["rows"], "sum": r["sum"], "min": [_number(x) for x in r["low"]], "max": [_number(x) for x in r["high"]]} for file, r in facts.items()]
+        assert all(f["path"].startswith(name) for f in out)
         return sorted(out, key=lambda f: f["min"])
 
-    def _catalog(self, before: Snapshot, files: list[dict], touched: DataFrame, widths: dict[int, int] | None = None, dropped: int | None = None) -> str:
-        """Writes the catalog after a change of the ``touched`` symbols; their facts are taken anew."""
-        after = Snapshot(self, before.manifest | {"files": files}).frame()
+    def _catalog(self, before: Snapshot, files: list[dict], touched: DataFrame, dropped: int | None = None) -> str:
+        """Writes the catalog after a change of the ``touched`` symbols; their facts are taken anew, from files that may hold them."""
+        after = Snapshot(self, before.manifest | {"files": files})
         touched = touched.select(F.col("symbol").cast(PROFILES[self.profile][0]).alias("symbol")).distinct()
-        facts = after.join(touched, "symbol", "left_semi").groupBy("symbol").agg(F.count(F.lit(1)).alias("record_count"), F.min("time").alias("min_time"), F.max("time").alias("max_time"))
+        held = after.frame(after.files_near(touched.withColumn("low", F.lit(0)).withColumn("high", F.lit(str(self.most)).cast(PROFILES[self.profile][0]))))
+        facts = held.join(touched, "symbol", "left_semi").groupBy("symbol").agg(F.count(F.lit(1)).alias("record_count"), F.min("time").alias("min_time"), F.max("time").alias("max_time"))
         old = before.catalog()
         rows = touched.join(old.select("symbol", "record_size"), "symbol", "left").join(facts, "symbol", "left")
         rows = rows.select("symbol", F.coalesce("record_size", F.lit(0)).cast("long").alias("record_size"), F.coalesce("record_count", F.lit(0)).cast("long").alias("record_count"), "min_time", "max_time")
         rows = old.join(touched, "symbol", "left_anti").unionByName(rows)
-        for symbol, size in (widths or {}).items():
-            rows = rows.withColumn("record_size", F.when(F.col("symbol") == F.lit(symbol), F.lit(size).cast("long")).otherwise(F.col("record_size")))
-        if dropped is not None:
-            rows = rows.where(F.col("symbol") != F.lit(dropped))
+        return self._write_catalog(rows if dropped is None else rows.where(F.col("symbol") != F.lit(dropped)))
+
+    def _write_catalog(self, rows: DataFrame, to: Files | None = None) -> str:
         path = f"catalog/{uuid.uuid4().hex}"
-        rows.select(*self.catalog_schema.names).repartitionByRange("symbol").sortWithinPartitions("symbol").write.parquet(self.files.at(path))
+        rows.select(*self.catalog_schema.names).repartitionByRange("symbol").sortWithinPartitions("symbol").write.parquet((to or self.files).at(path))
         return path
 
     def _publish(self, before: Snapshot, sync: bool = True, **changes) -> int:
-        manifest = before.manifest | changes | {"txn": before.txn + 1, "parent": before.txn}
-        if not self.files.publish(self._name(manifest["txn"]), json.dumps(manifest), sync):
-            raise StoreError("another writer committed first; read again and retry", txn=before.txn)
-        return manifest["txn"]
+        txn = before.txn + 1
+        while not self.files.publish(self._name(txn), json.dumps(before.manifest | changes | {"txn": txn, "parent": before.txn}), sync):
+            if self._readable(txn):
+                raise StoreError("another writer committed first; read again and retry", txn=before.txn)
+            txn += 1  # a damaged manifest has this number
+        return txn
 
     def _meta(self, before: Snapshot, changes: dict[str, bytes]) -> dict[str, str]:
         meta = {k: base64.b64decode(v) for k, v in before.manifest["meta"].items()} | changes
@@ -332,11 +376,10 @@ class Store:
             return self._publish(before, sync, meta=self._meta(before, batch.meta))
         ops = self._ops(batch).persist()
         try:
-            key = F.struct(*KEY)
-            ends = ops.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-            if ends["low"] is None:
+            spans = ops.groupBy("symbol").agg(F.min("time").alias("low"), F.max("time").alias("high"))
+            if spans.isEmpty():
                 return self._publish(before, sync, meta=self._meta(before, batch.meta)) if batch.meta else before.txn
-            near = before.files(tuple(map(_number, ends["low"])), tuple(map(_number, ends["high"])))
+            near = before.files_near(spans)
             base = before.frame(near)
             bad = batches.violations(base, ops, before.catalog().select("symbol", "record_size")).orderBy(*KEY, "idx").first()
             if bad:
@@ -345,9 +388,10 @@ class Store:
             final = batches.net(ops)
             hit = base.select(*KEY, F.input_file_name().alias("file")).join(final.select(*KEY), KEY, "left_semi").select("file").distinct()
             # Only files that hold a key of the batch are written again; a batch of new keys only adds files.
-            names = {r["file"].rsplit("/data/", 1)[1] for r in hit.collect()} if near else set()
+            names = {unquote(r["file"].rsplit("/data/", 1)[1]) for r in hit.collect()} if near else set()
             old = [f for f in near if f["path"].removeprefix("data/") in names]
-            kept = [f for f in before.manifest["files"] if f not in old]
+            again = {f["path"] for f in old}
+            kept = [f for f in before.manifest["files"] if f["path"] not in again]
             new = batches.apply_batch(before.frame(old), ops)
             files = sorted([*kept, *self._stored(new)], key=lambda f: f["min"])
             created = batches.created(ops)
@@ -365,7 +409,12 @@ class Store:
         row = before.known(symbol)
         if row and row["record_size"] != record_size and (row["record_size"] or row["record_count"]):
             raise InvalidError(f"symbol {symbol} has records or another width")
-        return self._publish(before, catalog=self._catalog(before, before.manifest["files"], self._one(symbol), {symbol: record_size}))
+        rows, size = before.catalog(), F.lit(record_size).cast("long")
+        if row:  # facts stay as they are: no record is read
+            rows = rows.withColumn("record_size", F.when(F.col("symbol") == F.lit(symbol), size).otherwise(F.col("record_size")))
+        else:
+            rows = rows.unionByName(self._one(symbol).withColumn("record_size", size).withColumn("record_count", F.lit(0).cast("long")), allowMissingColumns=True)
+        return self._publish(before, catalog=self._write_catalog(rows))
 
     def _one(self, symbol: int) -> DataFrame:
         return self.spark.range(1).select(F.lit(symbol).cast(PROFILES[self.profile][0]).alias("symbol"))
@@ -374,9 +423,10 @@ class Store:
         """Files without a symbol's records of a range: whole files go by their key range, others are written again."""
         near = before.files((symbol, low), (symbol, high))
         whole = [f for f in near if f["min"][0] == f["max"][0] == symbol and f["min"][1] >= low and f["max"][1] <= high]
-        part = [f for f in near if f not in whole]
+        gone, known = {f["path"] for f in near}, {f["path"] for f in whole}
+        part = [f for f in near if f["path"] not in known]
         new = self._stored(batches.delete_range(before.frame(part), symbol, low, high)) if part else []
-        return sorted([*(f for f in before.manifest["files"] if f not in near), *new], key=lambda f: f["min"])
+        return sorted([*(f for f in before.manifest["files"] if f["path"] not in gone), *new], key=lambda f: f["min"])
 
     def delete_range(self, symbol: int, low: int, high: int) -> int:
         before = self._writable()
@@ -412,10 +462,15 @@ class Store:
         """Deletes versions but the last ``keep``, and the files that no version left names; how many folders went."""
         self._writable()
         versions = sorted(self._versions())
-        for txn in versions[: -keep or None]:
-            self.files.delete(self._name(txn))
+        readable = [txn for txn in versions if self._readable(txn)]
+        if not readable:
+            raise CorruptError(f"{self.files.root} has no readable version")
+        kept = readable[-keep:]
+        for txn in versions:
+            if txn < kept[0]:
+                self.files.delete(self._name(txn))
         named = set()
-        for txn in versions[-keep:]:
+        for txn in kept:
             manifest = json.loads(self.files.read(self._name(txn)))
             named |= {"/".join(f["path"].split("/")[:2]) for f in manifest["files"]} | {manifest["catalog"]}
         gone = [f"{top}/{n}" for top in ("data", "catalog") for n in self.files.names(top) if f"{top}/{n}" not in named]
@@ -430,13 +485,25 @@ class Store:
             raise InvalidError("a store can't be copied onto itself")
         if other.names() and not other.names("versions"):
             raise CorruptError(f"{to} holds other files")
-        for name in other.names():
-            other.delete(name)
-        other.make("versions")
-        for path in sorted({f["path"] for f in now.manifest["files"]} | ({now.manifest["catalog"]} if now.manifest["catalog"] else set())):
-            other.make(path.rsplit("/", 1)[0])
-            self.files.copy(path, other, path)
-        other.publish(self._name(now.txn), json.dumps(now.manifest))
+        # Written beside it by tasks, and put in its place when it is whole: there is a whole copy at any time.
+        copy = Files(self.spark, f"{other.root}.{uuid.uuid4().hex}.new")
+        files = self._stored(now.frame(), copy) if now.manifest["files"] else []
+        catalog = self._write_catalog(now.catalog(), copy) if now.manifest["catalog"] else ""
+        copy.make("versions")
+        copy.publish(self._name(now.txn), json.dumps(now.manifest | {"files": files, "catalog": catalog}))
+        old = Files(self.spark, f"{other.root}.{uuid.uuid4().hex}.old")
+        had = other.exists()
+        if had:
+            other.move(old)
+        copy.move(other)
+        if had:
+            old.delete("")
+        return now.txn
+
+    def sync(self) -> int:
+        """Makes commits that were written without ``sync`` durable; the commit counter."""
+        now = self._writable()
+        self.files.sync([self._name(now.txn), *(f["path"] for f in now.manifest["files"]), *([now.manifest["catalog"]] if now.manifest["catalog"] else [])])
         return now.txn
 
     def verify(self) -> dict:
@@ -444,15 +511,14 @@ class Store:
         now = self.snapshot()
         report = {"txn": now.txn, "files": len(now.manifest["files"]), "errors": []}
         if now.manifest["files"]:
-            sums = {r["name"]: r["sum"] for r in self.spark.read.format("binaryFile").load([self.files.at(f["path"]) for f in now.manifest["files"]]).select(F.element_at(F.split("path", "/data/"), -1).alias("name"), F.sha2("content", 256).alias("sum")).collect()}
-            report["errors"] += [f"{f['path']}: checksum differs" for f in now.manifest["files"] if sums.get(f["path"].removeprefix("data/")) != f["sha256"]]
-            facts = now.frame().groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(*KEY)).alias("low"), F.max(F.struct(*KEY)).alias("high"))
             try:
-                found = {r["file"].rsplit("/data/", 1)[1]: r for r in facts.collect()}
+                found = self._facts(now.frame())
                 for f in now.manifest["files"]:
                     r = found.get(f["path"].removeprefix("data/"))
                     if r is None or (r["rows"], [_number(x) for x in r["low"]], [_number(x) for x in r["high"]]) != (f["rows"], f["min"], f["max"]):
                         report["errors"].append(f"{f['path']}: rows or keys differ from the manifest")
+                    elif r["sum"] != f["sum"]:
+                        report["errors"].append(f"{f['path']}: checksum differs")
             except Exception as e:  # noqa: BLE001  a damaged file fails in many ways
                 raise CorruptError("a file can't be read", report=report | {"errors": [*report["errors"], str(e)[:300]]}) from e
         counts = batches.verify(now.frame(), now.catalog()).first().asDict()
@@ -465,4 +531,9 @@ class Store:
 
     def stats(self) -> dict:
         now = self.snapshot()
-        return {"txn": now.txn, "files": len(now.manifest["files"]), "records": sum(f["rows"] for f in now.manifest["files"]), "symbols": now.catalog().count(), "versions": len(self._versions()), "format": FORMAT, "version": VERSION}
+        files = now.manifest["files"]
+        return {
+            "txn": now.txn, "files": len(files), "records": sum(f["rows"] for f in files), "symbols": now.catalog().count(), "versions": len(self._versions()), "format": FORMAT, "version": VERSION,
+            "data_bytes": self.files.size(*{f["path"].rsplit("/", 1)[0] for f in files}), "store_bytes": self.files.size(""), "meta_bytes": sum(4 + len(k.encode()) + len(base64.b64decode(v)) for k, v in now.manifest["meta"].items()),
+            "largest_file_rows": max((f["rows"] for f in files), default=0), "kept_tables": self.spark.sparkContext._jsc.sc().getPersistentRDDs().size(),
+        }

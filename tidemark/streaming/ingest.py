@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..errors import NotFound
+from ..errors import InvalidError, NotFound
 from ..sources.store import Batch, Store
 
 
-def ingest(stream: DataFrame, store: Store, name: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def ingest(stream: DataFrame, store: Store, name: str, checkpoint: str, available_now: bool = True, order: str | None = None) -> StreamingQuery:
     """Upserts the stream's records (symbol, time, seq, value), however late, into ``store``.
 
     The number of the last micro-batch is committed together with its records, so that a
     micro-batch which Spark repeats after a failure is passed over. Of records of one key
-    in a micro-batch the one with the largest value wins.
+    in a micro-batch the last by the column ``order`` wins; without such a column, or
+    with equal ones, different values of one key are an error, as their order is unknown.
     """
 
     def take(rows: DataFrame, number: int) -> None:
@@ -26,8 +27,19 @@ def ingest(stream: DataFrame, store: Store, name: str, checkpoint: str, availabl
                 return
         except NotFound:
             pass
-        ops = rows.groupBy("symbol", "time", "seq").agg(F.max("value").alias("value")).select(F.lit("upsert").alias("op"), "symbol", "time", "seq", "value", F.lit(0).cast("long").alias("idx"))
-        batch = Batch(frame=ops)
+        keys, at = ["symbol", "time", "seq"], F.col(order) if order else F.lit(0)
+        one = rows.groupBy(*keys, at.alias("at")).agg(F.min("value").alias("value"), F.max("value").alias("other"))
+        one = one.groupBy(*keys).agg(F.max_by(F.struct("value", "other"), "at").alias("last")).select(*keys, "last.*").persist()
+        try:
+            tie = one.where(~F.col("value").eqNullSafe(F.col("other"))).first()
+            if tie:
+                raise InvalidError(f"several values of key ({tie['symbol']}, {tie['time']}, {tie['seq']}) without an order")
+            write(one, number)
+        finally:
+            one.unpersist()
+
+    def write(one: DataFrame, number: int) -> None:
+        batch = Batch(frame=one.select(F.lit("upsert").alias("op"), "symbol", "time", "seq", "value", F.lit(0).cast("long").alias("idx")))
         batch.put_meta(f"stream:{name}", str(number).encode())
         store.write(batch)
 
@@ -38,20 +50,25 @@ def ingest(stream: DataFrame, store: Store, name: str, checkpoint: str, availabl
 def tail(store: Store, since: int, act: Callable[[DataFrame, int], None], timeout: float, commits: int | None = None) -> int:
     """Calls ``act`` with the records that commits after ``since`` brought, and their number.
 
-    Records of files that ``since`` did not have and that are new or changed. Ends after
-    ``timeout`` seconds without a commit (or ``commits`` commits); the last number seen.
+    Records of files that the commit before did not have, without those that it had in
+    files which were written again; at first all records, unless ``since`` is the newest
+    commit. Ends after ``timeout`` seconds without a commit (or ``commits`` commits); the
+    last number seen.
     """
-    seen, known = since, {f["path"] for f in store.snapshot().manifest["files"]} if since == store.txn_id() else set()
-    done = 0
+    now = store.snapshot()
+    seen, before, done = since, now if since == now.txn else None, 0
     while commits is None or done < commits:
         try:
             store.wait_for_txn(seen, timeout)
         except NotFound:
             break
         now = store.snapshot()
-        fresh = [f for f in now.manifest["files"] if f["path"] not in known]
-        act(now.frame(fresh), now.txn)
-        seen, known, done = now.txn, {f["path"] for f in now.manifest["files"]}, done + 1
+        known, kept = {f["path"] for f in before.manifest["files"]} if before else set(), {f["path"] for f in now.manifest["files"]}
+        rows = now.frame([f for f in now.manifest["files"] if f["path"] not in known])
+        if before and (gone := [f for f in before.manifest["files"] if f["path"] not in kept]):
+            rows = rows.join(before.frame(gone), ["symbol", "time", "seq", "value"], "left_anti")
+        act(rows, now.txn)
+        seen, before, done = now.txn, now, done + 1
     return seen
 
 
