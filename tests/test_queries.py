@@ -30,7 +30,7 @@ def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.SQL)
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("store_catalog", "backup_compare")])
+@pytest.mark.parametrize("name", queries.QUERIES)
 def test_query(spark, duck, name):
     same(queries.QUERIES[name](spark, SF).toArrow(), duck.execute(queries.SQL[name]).to_arrow_table())
 

@@ -74,7 +74,7 @@ def symbol_drop(base: DataFrame, symbol) -> DataFrame:
 
 
 def verify(frame: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
-    """One row of counts: records, symbols, keys that repeat, and symbols whose facts disagree with a catalog."""
+    """One row of counts: records, symbols (of records or catalog), keys that repeat, and symbols whose facts disagree with a catalog."""
     keys = frame.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     facts = keys.groupBy("symbol").agg(F.sum("n").cast("long").alias("record_count"), F.sum((F.col("n") > 1).cast("long")).alias("repeated"), F.min("time").alias("min_time"), F.max("time").alias("max_time"))
     if catalog is not None:

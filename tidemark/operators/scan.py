@@ -28,9 +28,20 @@ def scan(frame: DataFrame, symbol, low=None, high=None, reverse: bool = False, l
     return rows if limit is None else rows.limit(limit)
 
 
-def numbered(rows: DataFrame, *order: str | Column, name: str = "pos") -> DataFrame:
-    """Rows with their position (from 1). For results of one series; a position over many is global and needs one task."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+def numbered(rows: DataFrame, *order: str | Column, name: str = "pos", bucket: Column | None = None, reverse: bool = False) -> DataFrame:
+    """Rows with their position (from 1) over all of them.
+
+    ``bucket`` is a value that rises (``reverse``: falls) with the order: rows are ranked
+    within their bucket, and only the buckets' counts are summed up in one task. Without
+    it all rows are, which is for results of one page or a short range.
+    """
+    if bucket is None:
+        return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+    rows = rows.withColumn("_bucket", bucket)
+    before = Window.orderBy(F.desc("_bucket") if reverse else F.asc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = rows.withColumn(name, F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
+    return ranked.join(counts, "_bucket").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_bucket", "_before")
 
 
 def after(time, seq, reverse: bool = False) -> Column:
@@ -54,11 +65,11 @@ def page(frame: DataFrame, symbol, size: int, last: tuple | None = None, low=Non
     return scan(rows, symbol, reverse=reverse, limit=size)
 
 
-def chunked(rows: DataFrame, size: int, *order: str | Column) -> DataFrame:
+def chunked(rows: DataFrame, size: int, *order: str | Column, bucket: Column | None = None) -> DataFrame:
     """Positions and the chunk (from 0) that each row comes in."""
     if size < 1:
         raise InvalidError("a chunk has one row at least")
-    return numbered(rows, *order).withColumn("chunk", F.floor((F.col("pos") - 1) / size).cast("long"))
+    return numbered(rows, *order, bucket=bucket).withColumn("chunk", F.floor((F.col("pos") - 1) / size).cast("long"))
 
 
 def read_range(frame: DataFrame, symbol, low=None, high=None, cap: int | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -10,8 +9,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import NotFound, Status, StoreError, strerror
 from ..operators import aggregates, batch, merge, point, scan
-from ..sources.store import Batch, Store
+from ..sources.cursor import Cursor
+from ..sources.files import scratch_dir
+from ..sources.store import FORMAT, VERSION, Batch, Store
+from ..streaming.ingest import ingest, tail, windowed_counts
 from . import tables as t
 
 USER, USERS = 3, [3, 5, 8]
@@ -45,6 +48,10 @@ LISTED, IN_WEEK = ", ".join(map(str, USERS)), f"time BETWEEN {ts(LOW)} AND {ts(H
 FORWARD, MERGED = "ORDER BY time, seq", "ORDER BY time, seq, symbol"
 
 
+def day(time="time"):
+    return F.date_trunc("day", time)
+
+
 def week(frame: DataFrame, symbol=USER) -> DataFrame:
     return scan.bounded(frame, symbol, LOW, HIGH)
 
@@ -57,11 +64,12 @@ def get_exact(spark, sf_dir):
     return point.get(t.turns(spark, sf_dir), USER, 1)
 
 
-@register(f"SELECT * FROM {t.LINES} WHERE symbol = 7 AND seq = 1 AND time = (SELECT min(l_shipdate) FROM lineitem WHERE l_partkey = 7)")
+@register(f"SELECT * FROM {t.ORDERS} WHERE (symbol, time, seq) IN (SELECT o_custkey, max(o_orderdate), max_by(o_orderkey, (o_orderdate, o_orderkey)) FROM orders WHERE o_custkey % 10 = 1 GROUP BY o_custkey)")
 def get_seq_exact(spark, sf_dir):
-    rows = t.lines(spark, sf_dir)
-    first = t.table(spark, sf_dir, "lineitem").where("l_partkey = 7").agg(F.min("l_shipdate").alias("time"))
-    return point.get_many(first.select(F.lit(7).cast("long").alias("symbol"), "time", F.lit(1).cast("long").alias("seq")), rows).where("found").drop("found")
+    """Exact lookup, with the sequence, of the newest order of every tenth customer."""
+    rows = t.orders(spark, sf_dir)
+    newest = rows.where("symbol % 10 = 1").groupBy("symbol").agg(F.max(F.struct("time", "seq")).alias("at")).select("symbol", "at.time", "at.seq")
+    return point.get_many(newest, rows).where("found").drop("found")
 
 
 @register(f"SELECT symbol, time, max(CASE WHEN seq = 0 THEN 1 ELSE 0 END) = 1 AS plain_found, count(*) AS records FROM {t.HOURLY} GROUP BY symbol, time")
@@ -149,12 +157,14 @@ def scan_full(spark, sf_dir):
 
 @register(f"SELECT row_number() OVER ({FORWARD}) AS pos, * FROM {t.EVENTS} WHERE symbol = {USER} AND {IN_WEEK}")
 def scan_bounded(spark, sf_dir):
-    return scan.numbered(week(t.events(spark, sf_dir)), "time", "seq")
+    return scan.numbered(week(t.events(spark, sf_dir)), "time", "seq", bucket=day())
 
 
-@register(f"SELECT * FROM {t.HOURLY} WHERE symbol = {USER} AND time BETWEEN {ts(NOON)} AND {ts(NOON)}")
+@register(f"SELECT h.* FROM {t.HOURLY} h JOIN (SELECT user_id, min(date_trunc('hour', ts)) AS hour FROM events WHERE user_id = {USER} GROUP BY user_id) f ON h.symbol = f.user_id AND h.time = f.hour")
 def scan_point_range(spark, sf_dir):
-    return scan.bounded(t.hourly(spark, sf_dir), USER, NOON, NOON)
+    """A range of one instant, that of the user's first record: every sequence of it."""
+    first = t.hourly(spark, sf_dir).where(F.col("symbol") == USER).agg(F.min("time")).first()[0]
+    return scan.bounded(t.hourly(spark, sf_dir), USER, first, first)
 
 
 @register(f"SELECT * FROM {t.EVENTS} WHERE symbol = {USER} AND time BETWEEN {ts(LATE)} AND {ts(LATE)}")
@@ -225,7 +235,7 @@ def read_range_capped(spark, sf_dir):
 
 def _merge(name: str, where: str, build, source: str = t.EVENTS) -> None:
     def run(spark, sf_dir):
-        return scan.numbered(build(spark, sf_dir), "time", "seq", "symbol")
+        return scan.numbered(build(spark, sf_dir), "time", "seq", "symbol", bucket=day())
 
     run.__name__ = name
     register(f"SELECT row_number() OVER ({MERGED}) AS pos, * FROM {source} WHERE {where}")(run)
@@ -391,10 +401,24 @@ def width_check(spark, sf_dir):
     return batch.violations(rows.limit(0), rows.withColumn("op", F.lit("upsert")).withColumn("idx", F.col("seq")), widths)
 
 
-@register(f"SELECT count(*) AS records, count(DISTINCT symbol) AS symbols, CAST(0 AS BIGINT) AS repeated_keys, CAST(0 AS BIGINT) AS bad_symbols, CAST(0 AS BIGINT) AS bad_order FROM {t.LINES}")
+_DAMAGED = "(SELECT user_id AS symbol, CASE WHEN event_id % 11 = 0 THEN TIMESTAMP '2024-01-01' ELSE ts END AS time, CASE WHEN event_id % 11 = 0 THEN 0 ELSE event_id END AS seq FROM events)"
+
+
+@register(f"""
+SELECT count(*) AS records, count(DISTINCT symbol) + 1 AS symbols,  -- and the one that only the catalog has
+  (SELECT count(*) FROM (SELECT 1 FROM {_DAMAGED} GROUP BY symbol, time, seq HAVING count(*) > 1)) AS repeated_keys,
+  (SELECT count(*) FROM (SELECT symbol, count(*) AS n, min(time) AS lo, max(time) AS hi FROM {_DAMAGED} GROUP BY symbol) d
+   FULL JOIN (SELECT user_id AS symbol, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM events WHERE user_id <> 5 GROUP BY user_id UNION ALL SELECT 987654321, 0, NULL, NULL) c ON c.symbol = d.symbol
+   WHERE coalesce(d.n, 0) <> coalesce(c.n, -1) OR d.lo IS DISTINCT FROM c.lo OR d.hi IS DISTINCT FROM c.hi) AS bad_symbols,
+  CAST(0 AS BIGINT) AS bad_order FROM {_DAMAGED}""")
 def verify_report(spark, sf_dir):
-    rows = t.lines(spark, sf_dir)
-    return batch.verify(rows, aggregates.symbol_info(rows))
+    """Records of which some are moved onto one key, against a catalog from before that lacks a symbol and has one without records."""
+    rows = t.events(spark, sf_dir)
+    moved = F.col("seq") % 11 == 0
+    damaged = rows.select("symbol", F.when(moved, at(datetime(2024, 1, 1))).otherwise(F.col("time")).alias("time"), F.when(moved, 0).otherwise(F.col("seq")).cast("long").alias("seq"))
+    catalog = aggregates.symbol_info(rows).where("symbol <> 5")
+    none = spark.range(1).select(F.lit(987654321).cast("long").alias("symbol"), F.lit(0).cast("long").alias("record_count"))
+    return batch.verify(damaged, catalog.unionByName(none, allowMissingColumns=True))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -404,15 +428,19 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Queries of a store made for the purpose in the shared folder
 
 
+def _new_store(spark) -> Store:
+    return Store.open(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    """Events as records with a number of submission."""
+    return t.table(spark, sf_dir, "events").select(F.col("user_id").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time"), F.col("event_id").alias("seq"), F.encode("event_type", "UTF-8").alias("value"), F.col("event_id").alias("idx"))
+
+
 def _store(spark, sf_dir):
     """A store with the events of the first users, in three commits: a put, an upsert, a delete."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="tidemark-")
-    store = Store.open(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}")
-    rows = t.table(spark, sf_dir, "events").select(F.col("user_id").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time"), F.col("event_id").alias("seq"), F.encode("event_type", "UTF-8").alias("value"), F.col("event_id").alias("idx"))
+    store = _new_store(spark)
+    rows = _records(spark, sf_dir)
     store.write(Batch(frame=rows.withColumn("op", F.lit("put"))))
     store.write(Batch(frame=rows.where("seq % 5 = 0").withColumn("value", F.encode(F.lit("changed"), "UTF-8")).withColumn("op", F.lit("upsert"))))
     store.write(Batch(frame=rows.where("seq % 7 = 0").withColumn("op", F.lit("del"))))
@@ -420,22 +448,266 @@ def _store(spark, sf_dir):
     return store
 
 
+_read_only: dict[tuple[str, str], Store] = {}
+
+
+def _one_store(spark, sf_dir) -> Store:
+    """The store of ``_store`` for queries that don't change it: made once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _read_only or not _read_only[key].files.exists("versions"):
+        _read_only[key] = _store(spark, sf_dir)
+    return Store.open(spark, _read_only[key].files.root)
+
+
 _STORE = "(SELECT user_id AS symbol, epoch_us(ts) AS time, event_id AS seq, CASE WHEN event_id % 5 = 0 THEN 'changed' ELSE event_type END AS value FROM events WHERE event_id % 7 <> 0 AND NOT (user_id = 3 AND epoch_us(ts) < 1704585600000000))"
 
 
 @register(f"SELECT * FROM {_STORE}")
 def store_after_commits(spark, sf_dir):
-    return _store(spark, sf_dir).snapshot().frame().withColumn("value", F.decode("value", "UTF-8"))
+    return _one_store(spark, sf_dir).snapshot().frame().withColumn("value", F.decode("value", "UTF-8"))
 
 
 @register(f"SELECT symbol, count(*) AS record_count, min(time) AS min_time, max(time) AS max_time FROM {_STORE} GROUP BY symbol")
 def store_catalog(spark, sf_dir):
-    return _store(spark, sf_dir).snapshot().catalog().where("record_count > 0").select("symbol", "record_count", "min_time", "max_time")
+    return _one_store(spark, sf_dir).snapshot().catalog().where("record_count > 0").select("symbol", "record_count", "min_time", "max_time")
 
 
 @register(f"SELECT symbol, count(*) AS record_count FROM {_STORE} GROUP BY symbol")
 def backup_compare(spark, sf_dir):
-    store = _store(spark, sf_dir)
-    to = f"{store.files.root}-copy"
+    store = _one_store(spark, sf_dir)
+    to = f"{store.files.root}-copy-{uuid.uuid4().hex}"
     store.backup(to)
     return Store.open(spark, to, "r").snapshot().frame().groupBy("symbol").agg(F.count(F.lit(1)).alias("record_count"))
+
+
+_BY_SYMBOL = "SELECT symbol, count(*) AS record_count, min(time) AS min_time, max(time) AS max_time FROM {} GROUP BY symbol"
+
+
+def _by_symbol(store: Store) -> DataFrame:
+    """What the catalog says, only if the records say the same."""
+    now = store.snapshot()
+    facts = now.frame().groupBy("symbol").agg(F.count(F.lit(1)).alias("record_count"), F.min("time").alias("min_time"), F.max("time").alias("max_time"))
+    return now.catalog().select("symbol", "record_count", "min_time", "max_time").join(facts, facts.columns)
+
+
+@register(_BY_SYMBOL.format(f"{_STORE} WHERE NOT (symbol = 5 AND time BETWEEN 1704672000000000 AND 1705276799000000)"))
+def store_delete_range(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    store.delete_range(5, 1_704_672_000_000_000, 1_705_276_799_000_000)
+    return _by_symbol(store)
+
+
+@register(_BY_SYMBOL.format(f"{_STORE} WHERE NOT (symbol = 8 AND time < 1704974400000000)"))
+def store_truncate_before(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    store.truncate_before(8, 1_704_974_400_000_000)
+    return _by_symbol(store)
+
+
+@register(_BY_SYMBOL.format(f"{_STORE} WHERE symbol <> 8"))
+def store_symbol_drop(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    store.symbol_drop(8)
+    return _by_symbol(store)
+
+
+@register("SELECT * FROM (VALUES ('empty batch', 1), ('three operations', 2), ('the same batch again', 3), ('cleared', 3), ('metadata only', 4)) AS x(step, txn)")
+def store_batch_lifecycle(spark, sf_dir):
+    """The commit counter after each step of a batch's life."""
+    store, b, out = _new_store(spark), Batch(), []
+    out.append(("empty batch", store.write(b)))
+    b.upsert(1, 1, b"a").upsert(1, 2, b"b").delete(1, 9)
+    out += [("three operations", store.write(b)), ("the same batch again", store.write(b))]
+    b.clear()
+    out.append(("cleared", store.write(b)))
+    out.append(("metadata only", store.write(Batch().put_meta("k", b"v"))))
+    return spark.createDataFrame(out, "step string, txn int")
+
+
+@register("SELECT * FROM (VALUES ('cursor', '43'), ('kept', 'x'), ('erased', NULL), ('unknown', NULL)) AS x(key, value)")
+def store_meta(spark, sf_dir):
+    store = _new_store(spark)
+    store.write(Batch().put(1, 1, b"a").put_meta("cursor", b"41").put_meta("kept", b"x").put_meta("erased", b"y"))
+    store.write(Batch().put_meta("cursor", b"42").put_meta("cursor", b"43").put_meta("erased", b""))
+
+    def value(key):
+        try:
+            return store.snapshot().get_meta(key).decode()
+        except NotFound:
+            return None
+
+    return spark.createDataFrame([(k, value(k)) for k in ("cursor", "kept", "erased", "unknown")], "key string, value string")
+
+
+@register("SELECT * FROM (VALUES ('at first', 1), ('behind', 3), ('timeout', 3), ('other process', 3)) AS x(step, txn)")
+def store_txn_wait(spark, sf_dir):
+    """Commit counters as read, waited for and not reached in time."""
+    store = _new_store(spark)
+    out = [("at first", store.txn_id())]
+    store.write(Batch().put(1, 1, b"a"))
+    store.write(Batch().put(1, 2, b"b"))
+    out.append(("behind", store.wait_for_txn(1, 1.0)))
+    try:
+        store.wait_for_txn(3, 0.01)
+    except NotFound as e:
+        out.append(("timeout", e.details["txn"]))
+    out.append(("other process", Store.open(spark, store.files.root, "r").txn_id()))
+    return spark.createDataFrame(out, "step string, txn int")
+
+
+@register("SELECT * FROM (VALUES (7, 4, 2), (9, 8, 0)) AS x(symbol, record_size, record_count)")
+def store_define_sync(spark, sf_dir):
+    """Declared widths, a commit that isn't synced at first, and a value of another width that is refused."""
+    store = _new_store(spark)
+    store.symbol_define(7, 4)
+    store.symbol_define(9, 8)
+    store.write(Batch().put(7, 1, b"0001").put(7, 2, b"0002"), sync=False)
+    store.sync()
+    try:
+        store.write(Batch().put(9, 1, b"short"))
+    except StoreError:
+        return store.snapshot().catalog().select(F.col("symbol").cast("int").alias("symbol"), F.col("record_size").cast("int").alias("record_size"), F.col("record_count").cast("int").alias("record_count"))
+
+
+@register(f"SELECT count(*) AS records, count(DISTINCT symbol) AS symbols, CAST(0 AS BIGINT) AS errors FROM {_STORE}")
+def store_verify(spark, sf_dir):
+    report = _one_store(spark, sf_dir).verify()
+    return spark.createDataFrame([(report["records"], report["symbols"], len(report["errors"]))], "records long, symbols long, errors long")
+
+
+@register(f"SELECT count(*) AS records, count(DISTINCT symbol) AS symbols, CAST(5 AS BIGINT) AS txn, true AS has_bytes, {FORMAT} AS format, {VERSION} AS version FROM {_STORE}")
+def store_stats(spark, sf_dir):
+    found = _one_store(spark, sf_dir).stats()
+    return spark.createDataFrame([(found["records"], found["symbols"], found["txn"], 0 < found["data_bytes"] <= found["store_bytes"], found["format"], found["version"])], "records long, symbols long, txn long, has_bytes boolean, format int, version int")
+
+
+@register(f"SELECT time, seq, value FROM {_STORE} WHERE symbol = 5")
+def store_prefetch(spark, sf_dir):
+    rows = _one_store(spark, sf_dir).snapshot().prefetch(5)
+    return rows.select("time", "seq", F.decode("value", "UTF-8").alias("value"))
+
+
+@register(f"SELECT 'closed' AS what, CAST(-2 AS BIGINT) AS n UNION ALL SELECT 'opened again', count(*) FROM {_STORE} UNION ALL SELECT 'read only', -2")
+def store_open_close(spark, sf_dir):
+    """Statuses of a closed store and of a write to one that is open for reading, and the records of one opened again."""
+    store = _one_store(spark, sf_dir)
+    out = []
+    with store:
+        pass
+    for what, call in (("closed", store.snapshot), ("read only", lambda: Store.open(spark, store.files.root, "r").write(Batch().put(1, 1, b"")))):
+        try:
+            call()
+        except StoreError as e:
+            out.append((what, int(e.status)))
+    out.append(("opened again", Store.open(spark, store.files.root).snapshot().frame().count()))
+    return spark.createDataFrame(out, "what string, n long")
+
+
+@register("SELECT * FROM (VALUES " + ", ".join(f"({int(x)}, '{strerror(x)}')" for x in Status) + ") AS x(status, meaning)")
+def status_meanings(spark, sf_dir):
+    return spark.createDataFrame([(int(x), strerror(x)) for x in Status], "status int, meaning string")
+
+
+def _walked(spark, cursor: Cursor) -> DataFrame:
+    """The records that a cursor hands out, numbered; a page at a time reaches the driver."""
+    return spark.createDataFrame([(i, int(r["symbol"]), int(r["time"]), r["seq"], bytes(r["value"]).decode()) for i, r in enumerate(cursor, 1)], "pos long, symbol long, time long, seq long, value string")
+
+
+@register(f"SELECT row_number() OVER ({FORWARD}) AS pos, * FROM {_STORE} WHERE symbol = 5")
+def cursor_walk(spark, sf_dir):
+    with Cursor(_one_store(spark, sf_dir), 5, chunk=32) as cursor:
+        return _walked(spark, cursor)
+
+
+@register(f"SELECT row_number() OVER ({MERGED}) AS pos, * FROM {_STORE} WHERE symbol IN ({LISTED})")
+def cursor_merged(spark, sf_dir):
+    with Cursor(_one_store(spark, sf_dir), USERS, chunk=64) as cursor:
+        return _walked(spark, cursor)
+
+
+@register(f"SELECT row_number() OVER (ORDER BY time DESC, seq DESC) AS pos, * FROM {_STORE} WHERE symbol = 5 AND time <= 1704974400000000")
+def cursor_reverse_seek(spark, sf_dir):
+    with Cursor(_one_store(spark, sf_dir), 5, chunk=32, reverse=True) as cursor:
+        cursor.next()
+        cursor.seek(1_704_974_400_000_000, (1 << 32) - 1)
+        return _walked(spark, cursor)
+
+
+@register(f"SELECT (pos - 1) // 16 AS batch, count(*) AS records, min(time) AS first_time FROM (SELECT row_number() OVER ({FORWARD}) AS pos, time FROM {_STORE} WHERE symbol = 5) GROUP BY batch")
+def cursor_batches(spark, sf_dir):
+    """Sizes and first times of the batches of a cursor, each a chunk."""
+    out = []
+    with Cursor(_one_store(spark, sf_dir), 5, chunk=16) as cursor:
+        while rows := cursor.next_batch(1000):
+            out.append((len(out), len(rows), int(rows[0]["time"])))
+    return spark.createDataFrame(out, "batch long, records long, first_time long")
+
+
+@register(f"""
+WITH old AS (SELECT row_number() OVER ({FORWARD}) AS pos, time, seq, value FROM {_STORE} WHERE symbol = 5),
+rest AS (SELECT time, seq, value FROM old WHERE pos > 10 AND pos <> 12 UNION ALL SELECT 9000000000000000, 1, 'late')
+SELECT pos, time, seq, value FROM old WHERE pos <= 10 UNION ALL SELECT 10 + row_number() OVER (ORDER BY time, seq), time, seq, value FROM rest""")
+def cursor_live(spark, sf_dir):
+    """A read-committed cursor past a commit that removes a record ahead, adds one at the end, and one behind it."""
+    store = _store(spark, sf_dir)
+    cursor = Cursor(store, 5, live=True, chunk=10)
+    out = cursor.next_batch(10)
+    ahead = store.snapshot().scan(5, limit=12).collect()[11]  # twelve rows
+    store.write(Batch().delete(5, ahead["time"], ahead["seq"]).put(5, 9_000_000_000_000_000, b"late", seq=1).put(5, 1, b"behind"))
+    out += list(cursor)
+    return spark.createDataFrame([(i, int(r["time"]), r["seq"], bytes(r["value"]).decode()) for i, r in enumerate(out, 1)], "pos long, time long, seq long, value string")
+
+
+def _streamed(spark, sf_dir) -> Store:
+    """A store that a stream of the events fills: the files of a folder, then one more with changed values."""
+    store, at_ = _new_store(spark), f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = _records(spark, sf_dir)
+    for part in (rows, rows.where("seq % 4 = 0").withColumn("value", F.encode(F.lit("again"), "UTF-8"))):
+        part.write.mode("append").parquet(f"{at_}/in")
+        ingest(spark.readStream.schema(rows.schema).parquet(f"{at_}/in"), store, "events", f"{at_}/checkpoint", order="idx").awaitTermination()
+    return store
+
+
+_STREAMED = "SELECT user_id AS symbol, epoch_us(ts) AS time, event_id AS seq, CASE WHEN event_id % 4 = 0 THEN 'again' ELSE event_type END AS value FROM events"
+
+
+@register(_STREAMED)
+def stream_ingest(spark, sf_dir):
+    return _streamed(spark, sf_dir).snapshot().frame().withColumn("value", F.decode("value", "UTF-8"))
+
+
+@register(f"{_STREAMED} WHERE event_id % 4 = 0")
+def stream_tail(spark, sf_dir):
+    """What the second micro-batch brought, without the other records of the files that it wrote again."""
+    store, seen = _streamed(spark, sf_dir), []
+    newest = store.snapshot
+    store.snapshot = lambda: newest() if seen else seen.append(None) or _earlier(store, 2)  # as of the first one
+    rows = []
+    tail(store, 2, lambda df, txn: rows.append(df), 0.05, commits=1)
+    return rows[0].select("symbol", "time", "seq", F.decode("value", "UTF-8").alias("value"))
+
+
+def _earlier(store: Store, txn: int):
+    import json
+
+    from ..sources.store import Snapshot
+
+    return Snapshot(store, json.loads(store.files.read(store._name(txn))))
+
+
+@register("SELECT date_trunc('hour', ts) AS hour, user_id AS symbol, count(*) AS n FROM events GROUP BY ALL")
+def stream_windows(spark, sf_dir):
+    rows = t.table(spark, sf_dir, "events").select(F.col("user_id").alias("symbol"), F.col("ts").cast("timestamp").alias("time"))
+    return windowed_counts(rows).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "symbol", "n")
+
+
+def bench_write(spark, sf_dir) -> DataFrame:
+    """Ingest: all events in one commit of a new store; its records by the catalog."""
+    store = _new_store(spark)
+    store.write(Batch(frame=_records(spark, sf_dir).withColumn("op", F.lit("put"))))
+    return store.snapshot().catalog()
+
+
+def bench_scan(spark, sf_dir) -> DataFrame:
+    """All records of a snapshot."""
+    return _one_store(spark, sf_dir).snapshot().frame()
