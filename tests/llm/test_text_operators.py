@@ -174,6 +174,15 @@ def test_media_round_trip(spark, tmp_path):
     assert sum(r["error"] is not None for r in again) == 1 and len(again) == len(got)
     empty = media.write_archives(df.limit(0), "doc_id", "text", f"file://{tmp_path}/none")
     assert media.read_archives(spark, empty).count() == 0
+    named = spark.createDataFrame([("a/1", "x"), ("é", None), (None, "y")], "doc_id string, text string")
+    got = media.media_digests(media.read_archives(spark, media.write_archives(named, "doc_id", "text", f"file://{tmp_path}/named")), "doc_id").collect()
+    assert {(r["doc_id"], r["n_bytes"], r["error"]) for r in got} == {("a/1", 1, None), ("é", 0, None), (None, 1, None)}
+    for r in got:  # the stored form and the features, by their definitions
+        payload = media.padded({"a/1": b"x", "é": b"", None: b"y"}[r["doc_id"]])
+        x = np.frombuffer(payload, np.uint8).astype(float)
+        bins = [int(x[i * 36 : (i + 1) * 36].sum() // 36) for i in range(16)]
+        assert r["media_sha256"] == media.hashlib.sha256(media.encode_png(payload)).hexdigest()
+        assert r["feature"] == f"mean={x.mean():.4f};dev={x.std():.4f};change={np.abs(np.diff(x)).mean():.4f};bins={','.join(map(str, bins))}"
 
 
 def test_secrets(spark):
@@ -333,3 +342,46 @@ def test_toxicity(spark):
     assert len(sample) == 300 and all(zlib.crc32(str(r.k).encode()) % 5 for r in sample) and all(r.y == truth[r.k] for r in sample)
     nothing = toxicity.train(table.limit(0), labels)
     assert {r["score"] for r in toxicity.score_toxicity(table, nothing).collect()} == {0.5}
+
+
+def test_registered_queries_on_odd_rows(spark, tmp_path):
+    """The ``op*`` functions themselves: nulls, empty and long texts, repeated rows and ids, clashing columns; then tables without rows."""
+    long = "token=abcdefgh " + "word other text " * 20_000
+    texts = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (1, "another text of the same id"), (None, "no id"), (None, None), (5, None), (6, ""), (7, long), (8, "one two three four five six")]
+    clash = "score string, evidence string, n_words string, shard string, slot string, spans string, licences string, component_id string, bin string, size string, key string, text_crc32 string"
+    names = [x.split()[0] for x in clash.split(", ")]
+    extra = lambda n: tuple(f"{c}{n}" for c in names)
+    tables = {
+        "documents": ([(i, t, "en", None if n % 2 else "s", len(t or ""), *extra(n)) for n, (i, t) in enumerate(texts)], f"{DOCS}, {clash}"),
+        "labels": ([(1, 0, 1), (8, None, None), (None, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int"),
+        "benchmark": ([("b1", "Three four FIVE"), ("b1", "three four five"), (None, None), ("b2", "")], "item_id string, text string"),
+        "pages": ([(1, "u", "<p>text</p>", "x"), (1, "u", "<p>text</p>", "x"), (None, None, None, None), (3, "v", "", "y")], "page_id long, url string, html string, text string"),
+        "conversations": ([(1, 0, "user", None), (1, 0, "user", None), (None, None, None, "x"), (2, 1, "assistant", long)], "conv_id long, turn long, role string, text string"),
+    }
+    for part, cut in (("rows", None), ("none", 0)):
+        for name, (rows, schema) in tables.items():
+            spark.createDataFrame(rows[:cut], schema).write.parquet(f"{tmp_path}/{part}/{name}.parquet")
+    want = {"op1": (4, 0), "op7": (4, 1)}
+    ids = sorted(map(repr, (i for i, _ in texts)))
+    for name, query in queries.queries().items():
+        full, none = want.get(name.split("_")[0], (len(texts), 0))
+        got = query(spark, f"{tmp_path}/rows").collect()
+        assert len(got) == full, name
+        if full == len(texts):
+            assert sorted(repr(r["doc_id"]) for r in got) == ids, name
+        by = {r[0]: r for r in got}
+        if name.startswith("op5"):
+            assert [(r["n_hit"], r["n_items"]) for r in got if r["doc_id"] == 8] == [(3, 1)]
+        elif name.startswith("op8"):
+            assert by[7]["n_assign"] == 1 and by[5]["spans"] == by[6]["spans"] == ""
+        elif name.startswith("op9"):
+            assert {(r["families"], r["n_confirmed"]) for r in got if r["doc_id"] == 1} == {("mit", 1), ("", 0)}
+        elif name.startswith("op10"):
+            assert by[6]["component_id"] == 6 and by[7]["component_id"] == 7
+        elif name.startswith("op3"):
+            assert by[5]["n_bytes"] == 0 and by[7]["n_bytes"] == len(long)
+        elif name.startswith("op4"):
+            assert all(0 <= r["score"] <= 1 for r in got) and by[5]["score"] == by[6]["score"]
+        elif name.startswith("op7"):
+            assert by[1]["n_turns"] == 2 and by[-1]["n_turns"] == 2 and by[2]["loss_chars"] == len(long)
+        assert query(spark, f"{tmp_path}/none").count() == none, name

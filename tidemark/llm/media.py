@@ -6,8 +6,8 @@
 streams the members that begin in a range as Arrow batches, and retries each
 member by itself at its own offset: a bad member costs no other.
 
-Archive: members one after the other (``MEMBER`` header, then the stored form),
-then the members' offsets as little-endian 64-bit integers, then ``FOOTER``.
+Archive: members one after the other (``MEMBER`` header, the key as text, the stored
+form), then the members' offsets as little-endian 64-bit integers, then ``FOOTER``.
 """
 
 from __future__ import annotations
@@ -23,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .common import scratch_dir, texts
 
 ROW = 576
-#: magic, key is there, key, bytes before padding, bytes of the stored form, CRC-32 of the stored form
+#: magic, key is there, bytes of the key, bytes before padding, bytes of the stored form, CRC-32 of both
 MEMBER = struct.Struct("<4s?qqqI")
 MAGIC = b"TMM1"
 #: members, place of the offsets, magic
@@ -128,11 +129,12 @@ class _Archive:
         fs, path = filesystem(self.name)
         self.out, self.size, self.at = fs.open_output_stream(path, compression=None), 0, []
 
-    def add(self, key: int | None, n: int, media: bytes) -> None:
+    def add(self, key: str | None, n: int, media: bytes) -> None:
+        name = (key or "").encode()
         self.at.append(self.size)
-        self.out.write(MEMBER.pack(MAGIC, key is not None, key or 0, n, len(media), zlib.crc32(media)))
-        self.out.write(media)
-        self.size += MEMBER.size + len(media)
+        self.out.write(MEMBER.pack(MAGIC, key is not None, len(name), n, len(media), zlib.crc32(media, zlib.crc32(name))))
+        self.out.write(name + media)
+        self.size += MEMBER.size + len(name) + len(media)
 
     def close(self) -> tuple[str, int, int]:
         self.out.write(struct.pack(f"<{len(self.at)}q", *self.at) + FOOTER.pack(len(self.at), self.size, MAGIC))
@@ -146,7 +148,9 @@ def write_archives(rows: DataFrame, key: str, text: str, folder: str | None = No
     Every row is stored, with repeated and null keys too; a null text is empty. Each
     attempt of a task writes files of new names, and only those of the attempts that
     Spark counts get into the manifest (a Parquet table in the folder), so a lost
-    executor leaves no member twice. A table without rows gives an empty manifest.
+    executor leaves no member twice. A table without rows gives an empty manifest. Keys are
+    stored as text and read back as what they were (of any type that a cast to text and
+    back restores). Other columns are not read, whatever their names.
     """
     spark = rows.sparkSession
     folder = folder or f"{scratch_dir(spark)}/media-{uuid.uuid4().hex}"
@@ -166,7 +170,8 @@ def write_archives(rows: DataFrame, key: str, text: str, folder: str | None = No
             done.append(archive.close())
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["archive", "members", "bytes"])
 
-    rows.select(rows[key].cast("long").alias("k"), rows[text].alias("t")).mapInArrow(store, "archive string, members long, bytes long").write.parquet(f"{folder}/manifest")
+    stored = rows.select(rows[key].cast("string").alias("k"), rows[text].alias("t")).mapInArrow(store, "archive string, members long, bytes long")
+    stored.withColumn("key", F.lit(None).cast(rows.schema[key].dataType)).write.parquet(f"{folder}/manifest")  # its type is the keys'
     return folder
 
 
@@ -179,7 +184,7 @@ class MediaArchive(DataSource):
     """``spark.read.format("media_archive").option("manifest", json).load()``.
 
     Options: ``archives`` (lines ``bytes<tab>URI``), ``rangebytes`` (8 MB), ``retries``
-    (3 for each member), ``batchbytes`` (4 MB). Rows: key, n_bytes (before padding),
+    (3 for each member), ``batchbytes`` (4 MB). Rows: key (as text), n_bytes (before padding),
     media (stored form), payload (its samples), error (null, or why the member could not
     be read: then media and payload are null).
     """
@@ -189,7 +194,7 @@ class MediaArchive(DataSource):
         return "media_archive"
 
     def schema(self) -> T.StructType:
-        return T.StructType([T.StructField("key", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("error", T.StringType())])
+        return T.StructType([T.StructField("key", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("error", T.StringType())])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return MediaReader(self.options)
@@ -207,7 +212,7 @@ class MediaReader(DataSourceReader):
         return [Range(uri, low, min(n, low + self.range_bytes)) for n, uri in self.archives for low in range(0, n, self.range_bytes)] or [Range("", 0, 0)]
 
     def read(self, partition: Range):
-        schema = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("error", pa.string())])
+        schema = pa.schema([("key", pa.string()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("error", pa.string())])
         held: list[tuple] = []
         size = 0
         for row in self.members(partition) if partition.archive else ():
@@ -251,25 +256,28 @@ class MediaReader(DataSourceReader):
     @staticmethod
     def member(file, offset: int, end: int) -> tuple:
         data = file.read_at(end - offset, offset)
-        magic, there, key, n, size, crc = MEMBER.unpack_from(data)
-        media = data[MEMBER.size : MEMBER.size + size]
-        if magic != MAGIC or len(media) != size or zlib.crc32(media) != crc:
+        magic, there, named, n, size, crc = MEMBER.unpack_from(data)
+        name, media = data[MEMBER.size : MEMBER.size + named], data[MEMBER.size + named : MEMBER.size + named + size]
+        if magic != MAGIC or len(media) != size or zlib.crc32(media, zlib.crc32(name)) != crc:
             raise ValueError("member is damaged")
-        return key if there else None, n, media, decode_png(media), None
+        return name.decode() if there else None, n, media, decode_png(media), None
 
 
 def read_archives(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """The members of all archives in the folder's manifest."""
+    """The members of all archives in the folder's manifest, with keys of their own type; none for an empty one."""
     spark.dataSource.register(MediaArchive)
+    manifest = spark.read.parquet(f"{folder}/manifest")
     # One line for each archive of up to 64 MB: 100 TB make two million lines, which the planner has to hold anyway.
-    archives = "\n".join(f"{r['bytes']}\t{r['archive']}" for r in spark.read.parquet(f"{folder}/manifest").select("bytes", "archive").orderBy("archive").toLocalIterator())
-    return spark.read.format("media_archive").option("archives", archives).options(**options).load()
+    archives = "\n".join(f"{r['bytes']}\t{r['archive']}" for r in manifest.select("bytes", "archive").orderBy("archive").toLocalIterator())
+    members = spark.read.format("media_archive").option("archives", archives).options(**options).load()
+    return members.withColumn("key", F.col("key").cast(manifest.schema["key"].dataType))
 
 
 def media_digests(members: DataFrame, key_name: str) -> DataFrame:
     """Digest of each member: from the stored bytes alone, as read back."""
-    schema = f"{key_name} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
-    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"n_bytes": T.LongType(), "payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType(), "error": T.StringType()}
+    schema = T.StructType([T.StructField(key_name, members.schema["key"].dataType), *(T.StructField(n, kind) for n, kind in kinds.items())])
+    names = schema.names
 
     def digest(batches):
         for batch in batches:
