@@ -78,7 +78,11 @@ def pack(rows: DataFrame, key: str, size: str, source: str, cluster: str, capaci
     A text of more than ``capacity`` fills ``n_full`` bins of its own; the rest (1 to
     capacity, 0 for an empty text) is packed into ``bin`` of its group.
     No bin holds two rests of one source or one cluster; null sources and clusters don't
-    conflict. Null sizes count as 0. One row for each row, repeated ones too.
+    conflict. Null sizes count as 0. One row for each row, repeated ones too; an empty
+    table gives no rows; equal rests go by key, cluster and source. Rows are dealt round
+    robin, so a key, source or cluster that many rows share is spread over all groups;
+    which rows make a group depends on how the table is split. Other columns are not
+    read, whatever their names.
     """
     narrow = rows.select(F.col(key).alias("k"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long").alias("n"), F.col(source).cast("string").alias("s"), F.col(cluster).cast("string").alias("c"))
     groups = max(1, -(-rows.count() // group_rows))

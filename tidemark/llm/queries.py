@@ -19,16 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: one row for each row of ``pages``, null and empty ones with an empty text; no rows for no pages."""
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents by law ``bytes``: null and empty texts count their 16 bytes; equal ids go by size and checksum; repeated rows are rows of their own; a document larger than a shard fills it alone."""
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), unsigned_crc32(F.col("text")).alias("text_crc32"))
     placed = sharding.balanced_shards(rows, ["doc_id", "size", "text_crc32"], "size", SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text as stored and read back: null as empty; ids of any type, null or repeated, one row each; no rows for no documents."""
     folder = media.write_archives(table(spark, sf_dir, "documents"), "doc_id", "text")
     digests = media.media_digests(media.read_archives(spark, folder), "doc_id")
     # A member that can't be read, after its retries, fails the query rather than be missed.
@@ -36,6 +39,7 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, one row each, repeated ids too; null and empty texts get the score of a text without known words. Null ids are held out. Without labels every score is 0.5."""
     documents = table(spark, sf_dir, "documents")
     index = toxicity.train(documents, table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(documents, index, keep=["doc_id"])
@@ -43,6 +47,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of the benchmark in every document, one row each; null and empty texts have no words and are clean; repeated items count once by id; an empty benchmark hits nothing."""
     found = decontaminate.find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"),
@@ -51,16 +56,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of all documents: see ``packed``."""
     return packed(table(spark, sf_dir, "documents"))
 
 
 def packed(documents: DataFrame) -> DataFrame:
-    """Bins of ``documents``: equal texts are a duplicate cluster, a byte parts two texts."""
+    """Bins of ``documents``, one row for each: equal texts are a duplicate cluster, a byte parts two texts; null and empty texts are one byte and in no cluster; null sources conflict with nothing."""
     rows = documents.select("doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.when(F.octet_length("text") > 0, F.xxhash64("text")).alias("cluster"))
     return packing.pack(rows, "doc_id", "size", "source", "cluster", BIN_BYTES)
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of conversation -1; rows of one turn go by role, then text; null texts and roles are empty; rows without a conversation are one; a table without rows leaves -1 alone."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = f"{chat.END}{chat.START}assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -69,6 +76,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans in every document, one row each; null and empty texts have none; of spans with one start the order of the rules counts."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = tuple(r.kind for r in secrets.BASE_RULES)
 
@@ -79,6 +87,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document, one row each; null and empty texts have none (empty strings, null probability)."""
     found = licences.find_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
     sure = F.filter("licences", lambda x: x["confirmed"] | (x["contained"] >= licences.CONFIRM))
     return found.select(
@@ -90,6 +99,7 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document, one row each; null and empty texts are alone; null ids count as the largest; repeated ids with other texts are other documents."""
     return jaccard.ngram_groups(table(spark, sf_dir, "documents"))
 
 
