@@ -325,3 +325,62 @@ def test_pipeline_keeps_one_row_of_each_component(spark):
     assert [i for i, t in left if t.startswith("a")] == [1] and [i for i, t in left if t.startswith("b")] == [2]
     assert [i for i, t in left if t.startswith("c")] == [3] and [i for i, t in left if t.startswith("d")] == [None]
     assert (None, text("e")) in left and left.count((4, text("f"))) == 1 and left.count((5, "")) == 2 and len(left) == 8
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n)), "".join("ba"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_polynomials_modulo_powers_of_two_confuse(spark):
+    x, y = thue_morse(1024)
+    df = docs(spark, [f"one two three {w} five six" for w in (x, y)])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.ngram_groups(df, num=60).collect()}
+    assert got == {0: 0, 1: 1}
+    items = spark.createDataFrame([("i", f"one two three {x} five six")], "item_id string, text string")
+    assert [r["n_hit"] for r in decontaminate.find_passages(df, items).orderBy("doc_id").collect()] == [6, 0]
+
+
+def test_large_leaves_in_parts(spark, monkeypatch):
+    """A large group of near copies, and one of texts that share half: every part meets every other."""
+    monkeypatch.setattr(jaccard, "PART", 7)
+    rng = random.Random(8)
+    base, other = [[f"{c}{i}" for i in range(120)] for c in "vw"]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.randrange(6)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(own))
+    for i in range(40):
+        texts.append(" ".join(other[:90] + [f"y{i // 2}{j}" for j in range(60)] + [f"z{i}"]))
+    rng.shuffle(texts)
+    for k, num, den in ((4, 85, 100), (5, 80, 100)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.ngram_groups(docs(spark, texts), k=k, num=num, den=den).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_groups(texts, k, num, den)
+
+
+def test_shared_shingles():
+    rng = random.Random(3)
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    for _ in range(300):
+        k = rng.choice([1, 2, 4, 5])
+        a, b = ([rng.choice("abc").encode() for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        x, y = grams(a, k), grams(b, k)
+        assert jaccard.shared(b" ".join(a), b" ".join(b), k) == (len(x), len(y), len(x & y))
+
+
+def test_pipeline_with_clashing_columns_and_rows_that_repeat(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (5, a), (5, b), (None, a), (8, ""), (8, ""), (9, None)]
+    names = "score n_words n_hit hit_items hit_spans secret_spans evidence cls label n_shingles component_id text_hash Score_ key".split()
+    df = spark.createDataFrame([(i, t, "en", f"s{n}", len(t or ""), *(f"{c}{n}" for c in names)) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, df, SF)
+        assert left.schema.names == df.schema.names and [f.dataType for f in left.schema] == [f.dataType for f in df.schema]
+        for r in left.collect():
+            assert len({r[c][len(c) :] for c in names} | {r["source"][1:]}) == 1
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.jaccard_stage(spark, df, SF).collect()]
+    assert sorted(left, key=repr) == sorted([(1, a), (5, b), (8, ""), (8, ""), (9, None)], key=repr)
+    assert corpus_pipeline.packing_stage(spark, df, SF).count() == len(rows)

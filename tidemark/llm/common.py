@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,42 +12,61 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch_dir
+
 #: Bytes of text that a vectorised kernel looks at together; bounds its temporaries.
 SLICE_BYTES = 1 << 20
-#: Ids that may be broadcast (a hundred bytes each in memory, about); more are joined by an exchange.
-BROADCAST_IDS = 1_000_000
-
+#: Bytes of keys that may be broadcast, 64 of overhead for each counted in; more are joined by an exchange.
+BROADCAST_BYTES = 32 << 20
+#: Lets go of an execution's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset and Spark runs inside one process (tests), a
-    temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
+_phases: list[list[DataFrame]] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: cuts the
-    lineage, and a lost executor costs nothing that was written."""
+    lineage, and a lost executor costs nothing that was written. The shuffle files of
+    the execution go when it ends; the table stays until ``dropped``."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # the setting counts where a frame is made
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    if _phases:
+        _phases[-1].append(out)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` has written and that nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "_scratch", None):
+            jvm_path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+@contextmanager
+def phase() -> Iterator[list[DataFrame]]:
+    """Collects the tables that are stored within, so that they can be dropped together."""
+    _phases.append([])
+    try:
+        yield _phases[-1]
+    finally:
+        _phases.pop()
 
 
-def released(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished plans: Spark deletes them once the driver's
-    JVM has collected what refers to them, which by itself may be half an hour later."""
-    spark.sparkContext._jvm.System.gc()
+def is_small(keys: DataFrame) -> bool:
+    """Whether the rows of ``keys`` (narrow, stored) may be broadcast, by their bytes."""
+    sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in keys.columns]
+    total = keys.agg(F.coalesce(F.sum(sum(sizes, F.lit(64)).cast("long")), F.lit(0))).first()[0]
+    return total <= BROADCAST_BYTES
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +110,8 @@ SPACED = byte_table([0x20, *range(0x09, 0x0E)])
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: (prime, base) of the two polynomials whose values are a word's hash.
+_FIELDS = ((2147483647, 1190494759), (2147483629, 1598971123))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,22 +123,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: np.uint64, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006  one table a process
-    have = cache.get(int(base))
+def powers(prime: int, base: int, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006  one table a process
+    """base^0, base^1, ... modulo ``prime``."""
+    have = cache.get((prime, base))
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = cache[int(base)] = np.multiply.accumulate(steps)
-        if len(have) > 1 << 22:  # very long texts: use, but don't keep
-            cache.pop(int(base))
+        have = np.ones(1, np.uint32)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, (have * np.uint64(pow(base, len(have), prime)) % np.uint64(prime)).astype(np.uint32)])
+        if len(have) <= 1 << 21:  # of very long texts: use, but don't keep
+            cache[prime, base] = have
     return have[:n]
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of several texts at once, A-Z lower-cased.
 
-    ``data`` holds the texts, ``offsets`` (from 0) their bounds. Returns the 64-bit
-    hash, first byte and end byte of each word, and the bounds of each text's words.
+    ``data`` holds the texts, ``offsets`` (from 0) their bounds. Returns a 64-bit hash
+    (of values in two prime fields; equal hashes are no proof of equal words), first byte and end byte of each word, and the bounds of each text's words.
     """
     n = len(data)
     inside = table[data]
@@ -130,11 +150,14 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     lo, hi = cuts[:-1], cuts[1:]
     keep = inside[lo] if n else np.zeros(0, bool)
     lo, hi = lo[keep], hi[keep]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=total[1:])
-    size = (hi - lo).astype(np.uint64)
-    value = (total[hi] - total[lo]) * powers(_BASE_INV, n + 1)[lo]
-    return mix(value ^ (size << np.uint64(56))), lo, hi, np.searchsorted(lo, offsets)
+    value = np.zeros(len(lo), np.uint64)
+    lower = _LOWER[data].astype(np.uint64) + np.uint64(1)
+    for prime, base in _FIELDS:
+        p, total = np.uint64(prime), np.zeros(n + 1, np.uint64)
+        terms = lower * powers(prime, base, n)
+        np.cumsum(terms if n < 1 << 24 else terms % p, out=total[1:])  # sums stay under 2^64
+        value = value << np.uint64(32) | (total[hi] - total[lo]) % p * powers(prime, pow(base, -1, prime), n + 1)[lo] % p
+    return mix(value), lo, hi, np.searchsorted(lo, offsets)
 
 
 def shingles(value: np.ndarray, k: int) -> np.ndarray:

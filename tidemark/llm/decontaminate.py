@@ -5,7 +5,7 @@ window. A window's set are its shingles of ``shingle`` words. As all of them hav
 occur, the necessary prefix of the set, in order of rarity over all documents, is its
 one rarest shingle. Only this is joined; the place of the shingle in the window then
 fixes where the window would begin (positional bound) and end (length bound) in the
-document, and the window's words are compared there one by one.
+document. There the window's words are compared, by their hashes and then by their bytes.
 """
 
 from __future__ import annotations
@@ -25,51 +25,87 @@ from .common import ALNUM, column_bytes, shingles, slices, stored, words
 BLOCK_BYTES = 4 << 20
 
 
+def _numbered(number: np.ndarray, k: int) -> np.ndarray:
+    """Exact numbers of the runs of ``k`` words from each position on, by numbers of the words."""
+    run = number
+    for i in range(1, k):
+        run = np.unique(run[: len(number) - i] << 32 | number[i:], return_inverse=True)[1] if len(number) > i else run[:0]
+    return run
+
+
 class Windows:
-    """The distinct windows of a block of benchmark items."""
+    """The distinct windows of a block of benchmark items, as arrays.
+
+    ``start`` and ``size`` say where a window lies in the block's words (``value``: hashes;
+    ``first`` and ``end``: bytes of ``raw``); ``owner`` has the items of window w from
+    ``owned[w]`` to ``owned[w + 1]``.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int, shingle: int):
         self.window, self.shingle = window, shingle
         self.items: list[str] = [name for name, _ in items]
-        data = np.frombuffer(b"".join(x for _, x in items), np.uint8)
-        offsets = np.cumsum([0, *(len(x) for _, x in items)])
-        value, _, _, bounds = words(data, offsets, ALNUM)
-        seen: dict[tuple[int, ...], set[int]] = {}
-        for i in range(len(items)):
-            own = value[bounds[i] : bounds[i + 1]].tolist()
-            size = min(window, len(own))
-            for at in range(len(own) - size + 1 if size else 0):
-                seen.setdefault(tuple(own[at : at + size]), set()).add(i)
-        self.size = np.array([len(w) for w in seen], np.int64)
-        self.words = np.zeros((len(seen), window), np.uint64)
-        for i, w in enumerate(seen):
-            self.words[i, : len(w)] = w
-        self.owners = [sorted(x) for x in seen.values()]
+        raw = b"".join(x.lower() for _, x in items)
+        self.raw, offsets = raw, np.cumsum([0, *(len(x) for _, x in items)])
+        self.value, self.first, self.end, bounds = words(np.frombuffer(raw, np.uint8), offsets, ALNUM)
+        lengths = np.diff(bounds)
+        item = np.repeat(np.arange(len(items)), lengths)
+        numbers: dict[bytes, int] = {}
+        number = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(self.first.tolist(), self.end.tolist())], np.int64)
+        starts, sizes, owners, owned = [], [], [], [0]
+        for k in sorted({min(window, int(n)) for n in lengths.tolist()} - {0}):
+            run = _numbered(number, k)
+            at = np.arange(len(run))
+            own = item[at]
+            # Inside one item; an item of fewer words than a window is one itself.
+            fits = (item[at + k - 1] == own) & ((lengths[own] == k) if k < window else (lengths[own] >= k))
+            pairs = np.unique(np.stack([run[fits], own[fits]], axis=1), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
+            same, place = np.unique(run[fits], return_index=True)
+            starts.append(at[fits][place])
+            sizes.append(np.full(len(same), k, np.int64))
+            owners.append(pairs[:, 1])
+            owned.extend((owned[-1] + np.searchsorted(pairs[:, 0], same, side="right")).tolist())
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.start, self.size, self.owner, self.owned = join(starts), join(sizes), join(owners), np.array(owned, np.int64)
         #: Shingle lengths in use: shorter windows are one shingle.
         self.lengths = sorted({min(shingle, int(n)) for n in set(self.size.tolist())})
-        self.grams = {k: np.unique(np.concatenate([shingles(self.words[i, : self.size[i]], k) for i in np.flatnonzero(np.minimum(self.size, shingle) == k)])) for k in self.lengths}
+        self.grams = {k: np.unique(np.concatenate([shingles(self.value, k)[at : at + n - k + 1] for at, n in self._of(k)] or [np.zeros(0, np.uint64)])) if k < shingle else np.unique(shingles(self.value, k)) for k in self.lengths}
         self.prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
+    def _of(self, k: int) -> list[tuple[int, int]]:
+        mine = np.flatnonzero(np.minimum(self.size, self.shingle) == k)
+        return list(zip(self.start[mine].tolist(), self.size[mine].tolist()))
+
     def order_by(self, counts: dict[int, np.ndarray]) -> None:
         """Take each window's rarest shingle (ties: smaller hash, then first place) as its prefix."""
-        chosen: dict[int, list[tuple[int, int, int]]] = {k: [] for k in self.lengths}
-        for i, n in enumerate(self.size.tolist()):
-            k = min(self.shingle, n)
-            own = shingles(self.words[i, :n], k)
-            rank = counts[k][np.searchsorted(self.grams[k], own)]
-            at = min(range(len(own)), key=lambda j: (rank[j], own[j], j))
-            chosen[k].append((int(own[at]), i, at))
-        for k, rows in chosen.items():
-            rows.sort()
-            self.prefix[k] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-
-
-def _documents(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, words, bounds of each row's words) of slices of a text column."""
+        for k in self.lengths:
+            grams = shingles(self.value, k)
+            known = self.grams[k]
+            index = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+            # A number for each shingle in the order of rarity, then hash: known is sorted.
+            rank = np.empty(len(known), np.int64)
+            rank[np.argsort(counts[k], kind="stable")] = np.arange(len(known))
+            rank = rank[index]
+            chosen = []
+            for n in set(self.size[np.minimum(self.size, self.shingle) == k].tolist()):
+                w = np.flatnonzero(self.size == n)
+                place = np.lib.stride_tricks.sliding_window_view(rank, n - k + 1)[self.start[w]].argmin(axis=1)
+                chosen.append((grams[self.start[w] + place], w, place))
+            gram, w, place = (np.concatenate([x[i] for x in chosen]) for i in range(3))
+            order = np.lexsort((place, w, gram))
+            self.prefix[k] = gram[order], w[order], place[order]
+
+    def bytes_of(self, w: int) -> list[bytes]:
+        a = int(self.start[w])
+        return [self.raw[x:y] for x, y in zip(self.first[a : a + self.size[w]].tolist(), self.end[a : a + self.size[w]].tolist())]
+
+
+def _documents(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]]:
+    """(first row, end row, words, bounds of each row's words, bytes, the words' first and end bytes) of slices of a text column."""
     data, at = column_bytes(column)
     for lo, hi in slices(at):
-        value, _, _, bounds = words(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], ALNUM)
-        yield lo, hi, value, bounds
+        part = data[at[lo] : at[hi]]
+        value, first, end, bounds = words(part, at[lo : hi + 1] - at[lo], ALNUM)
+        yield lo, hi, value, bounds, part, first, end
 
 
 def _within(known: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +129,7 @@ def _corpus_counts(documents: DataFrame, text: str, block: Windows) -> dict[int,
         grams = shared.value
         seen = {k: np.zeros(len(g), np.int64) for k, g in grams.items()}
         for batch in batches:
-            for _, _, value, _ in _documents(batch.column(0)):
+            for _, _, value, *_ in _documents(batch.column(0)):
                 for k, known in grams.items():
                     seen[k] += np.bincount(_within(known, shingles(value, k))[1], minlength=len(known))
         for k, n in seen.items():
@@ -129,8 +165,9 @@ def find_passages(documents: DataFrame, items: DataFrame, text: str = "text", it
     n_words: words of the whole text (null: 0). n_hit: words inside any occurrence of a
     window. hit_items: distinct ids, as strings in order, of the items whose windows
     occur (a null id is "null"). hit_spans: the hit words as disjoint ranges of
-    word positions. One row for each row; items without words match nothing, an
-    empty benchmark hits nothing. Columns of these four names are replaced.
+    word positions. One row for each row, repeated and empty ones too; items without
+    words match nothing, repeated items count once by their id; an empty benchmark hits
+    nothing, an empty table gives no rows. Columns of these four names are replaced.
     """
     documents = documents.drop("n_words", "n_hit", "hit_items", "hit_spans")
     out, passes = None, 0
@@ -153,9 +190,10 @@ def _mark(documents: DataFrame, text: str, block: Windows, again: bool) -> DataF
 
     def run(batches):
         block = shared.value
+        known_bytes: dict[int, list[bytes]] = {}
         for batch in batches:
             n_words, n_hit, hit_items, hit_spans = [], [], [], []
-            for lo, hi, value, bounds in _documents(batch.column(at_text)):
+            for lo, hi, value, bounds, raw, begin, end in _documents(batch.column(at_text)):
                 cover = np.zeros(len(value) + 1, np.int32)
                 found: dict[int, set[str]] = {}
                 for k, (known, window, place) in block.prefix.items():
@@ -170,12 +208,17 @@ def _mark(documents: DataFrame, text: str, block: Windows, again: bool) -> DataF
                     w, start, size, row = w[fits], start[fits], size[fits], row[fits]
                     same = np.ones(len(w), bool)
                     for j in range(block.window):
-                        same &= (j >= size) | (value[np.minimum(start + j, len(value) - 1)] == block.words[w, j])
+                        same &= (j >= size) | (value[np.minimum(start + j, len(value) - 1)] == block.value[np.minimum(block.start[w] + j, len(block.value) - 1)])
+                    for i in np.flatnonzero(same).tolist():  # equal hashes are no proof
+                        x, y, a = int(start[i]), int(w[i]), int(size[i])
+                        if y not in known_bytes:
+                            known_bytes[y] = block.bytes_of(y)
+                        same[i] = known_bytes[y] == [raw[p:q].tobytes().lower() for p, q in zip(begin[x : x + a].tolist(), end[x : x + a].tolist())]
                     w, start, size, row = w[same], start[same], size[same], row[same]
                     np.add.at(cover, start, 1)
                     np.add.at(cover, start + size, -1)
                     for r, x in zip(row.tolist(), w.tolist()):
-                        found.setdefault(r, set()).update(block.items[i] for i in block.owners[x])
+                        found.setdefault(r, set()).update(block.items[i] for i in block.owner[block.owned[x] : block.owned[x + 1]].tolist())
                 hit = np.cumsum(cover[:-1]) > 0
                 for r in range(hi - lo):
                     a, b = int(bounds[r]), int(bounds[r + 1])
