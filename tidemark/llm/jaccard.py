@@ -298,7 +298,7 @@ def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text",
         if found is None:
             rows = rows.withColumn("label", F.col("cls"))
         seen = stored(_pairs_of(_dealt(rows, first), points, bound, whole), "seen")
-        pairs = stored(seen.where("b is not null").select("a", "b").distinct(), "pairs")
+        pairs = stored(seen.where("a <> b").select("a", "b").distinct(), "pairs")
         # Members of a group meet in many leaves: one pair of each is verified first, then those that still lie in different components.
         once = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "once")
         found = joined(found, verified(once))
@@ -486,8 +486,9 @@ def _open(leaves: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _trees(seen: DataFrame) -> DataFrame:
-    """Leaves of the trees that a search has left: (a, null, tree)."""
-    return seen.where("b is null").select(F.col("home"), F.col("a").alias("cls")).distinct()
+    """Leaves of the trees that a search has left: the ends of their pairs."""
+    named = seen.where("home is not null")
+    return named.select("home", F.col("a").alias("cls")).union(named.select("home", "b")).distinct()
 
 
 def _dealt(rows: DataFrame, first: bool) -> DataFrame:
@@ -519,9 +520,10 @@ def _dealt(rows: DataFrame, first: bool) -> DataFrame:
 def _pairs_of(rows: DataFrame, points: DataFrame, bound: Bound, whole: bool) -> DataFrame:
     """Pairs (a, b) of leaves' members, with other labels, whose points allow a link.
 
-    Not ``whole``: of each leaf a spanning forest of those pairs, nearest first. Then the
-    members of each tree of three or more follow, as (a, null, tree): only in these are
-    there pairs left that allow a link.
+    Not ``whole``: of each leaf a spanning forest of those pairs, nearest first, with the
+    name of their tree if it has three members or more: only in these are there pairs
+    left that allow a link. Members that a tree has by their label alone follow as (a, a,
+    tree).
     """
     # By number: leaves are few bytes but much work, so that small partitions must not be merged.
     number = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / TASK_ROWS))
@@ -532,7 +534,7 @@ def _pairs_of(rows: DataFrame, points: DataFrame, bound: Bound, whole: bool) ->
         # Members of one component are passed over before their points are compared.
         numbers = {x: i for i, x in enumerate(dict.fromkeys(labels))}
         of = np.array([numbers[x] for x in labels])
-        apart = len(numbers)
+        apart, edges = len(numbers), []
         for i in range(len(cls) - 1):
             if apart == 1:
                 break  # one component already: nothing to be found
@@ -544,19 +546,22 @@ def _pairs_of(rows: DataFrame, points: DataFrame, bound: Bound, whole: bool) ->
             if not whole and len(near) > 1:
                 near = near[np.argsort(-np.minimum(points[near], points[i]).sum(axis=1, dtype=np.int64) / (sizes[near] + sizes[i]), kind="stable")]
             while len(near):
-                for j in near.tolist() if whole else near[:1].tolist():
-                    yield min(cls[i], cls[j]), max(cls[i], cls[j]), None
+                edges.extend((i, j) for j in (near.tolist() if whole else near[:1].tolist()))
                 if whole:
                     break
                 of[of == of[near[0]]] = of[i]
                 apart -= 1
                 near = near[of[near] != of[i]]
-        if not whole:
-            _, at, size = np.unique(of, return_inverse=True, return_counts=True)
-            names = np.zeros(len(size), np.uint64)
-            np.add.at(names, at, _member_hash(np.frombuffer(b"".join(cls), _CLASS)["lo"]))
-            for i in np.flatnonzero(size[at] > 2).tolist():
-                yield cls[i], None, int(names[at[i]].astype(np.int64))
+        _, at, size = np.unique(of, return_inverse=True, return_counts=True)
+        names = np.zeros(len(size), np.uint64)
+        np.add.at(names, at, _member_hash(np.frombuffer(b"".join(cls), _CLASS)["lo"]))
+        for i, j in edges:
+            yield min(cls[i], cls[j]), max(cls[i], cls[j]), None if whole or size[at[i]] == 2 else int(names[at[i]].astype(np.int64))
+        if not whole and len(numbers) < len(cls):  # members that are in a tree only by their label
+            grown, ends = {int(at[i]) for i, _ in edges}, {x for e in edges for x in e}
+            for i in range(len(cls)):
+                if int(at[i]) in grown and i not in ends and size[at[i]] > 2:
+                    yield cls[i], cls[i], int(names[at[i]].astype(np.int64))
 
     def run(batches):
         task, held = None, []
