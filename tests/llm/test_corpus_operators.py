@@ -384,3 +384,30 @@ def test_pipeline_with_clashing_columns_and_rows_that_repeat(spark):
     left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.jaccard_stage(spark, df, SF).collect()]
     assert sorted(left, key=repr) == sorted([(1, a), (5, b), (8, ""), (8, ""), (9, None)], key=repr)
     assert corpus_pipeline.packing_stage(spark, df, SF).count() == len(rows)
+
+
+def test_members_of_many_leaves_are_looked_at_again_once(spark, monkeypatch):
+    """Near copies share many leaves: what the first searches leave open has a row for each class, and no search joins its rows twice."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(150):
+        own = [f"v{i}" for i in range(150)]
+        for at in rng.sample(range(150), rng.randrange(2, 6)):
+            own[at] = f"x{rng.randrange(10_000)}"
+        texts.append(" ".join(own))
+    searches, search = [], jaccard._pairs_of
+
+    def counted(rows, points, bound, whole):
+        searches.append((whole, rows.count(), "Join" in rows._jdf.queryExecution().toString()))
+        return search(rows, points, bound, whole)
+
+    monkeypatch.setattr(jaccard, "_pairs_of", counted)
+    want = brute_groups(texts, 4, 85, 100)
+    assert len({c for _, c in want}) > 2
+    for parts in (8, 0):  # 0: by leaves
+        monkeypatch.setattr(jaccard, "PARTS", parts, raising=False)
+        searches.clear()
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.ngram_groups(docs(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+        assert [whole for whole, _, _ in searches] == [False, True] and not any(joins for _, _, joins in searches)
+        assert (searches[1][1] <= len(texts)) == (parts > 0)

@@ -18,8 +18,10 @@ Copies form one class at once. Points travel once to each leaf, or to several ta
 leaf of many members: its members are dealt into parts, and first all parts meet one of
 them, so that near copies join into components; then the parts that still hold different
 components meet each other. Each search first emits a spanning forest of its surviving
-pairs, not all of them; only the forests' trees of three or more members that lie in
-different components are looked at again.
+pairs, not all of them. A surviving pair lies in one tree of its leaf's forest, so in one
+component of all forests together: only those of three or more members that lie in
+different components of links are looked at again, each member once and not in each of
+its leaves.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ BUCKET_ENTRIES = 1_000_000
 TREE_FROM, FAN_OUT = 256, 32
 #: Members of a leaf's part, about, and rows of a task that searches leaves.
 PART, TASK_ROWS = 1536, 20_000
+#: Parts up to which a component of the forests is looked at as one; a larger one by its leaves.
+PARTS = 8
 
 
 _GROUPS = np.uint64(0xFFFFFFFF)
@@ -293,12 +297,11 @@ def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text",
     points = stored(points.groupBy("cls").agg(F.first("point").alias("point"), F.first("n").alias("n")), "points")
 
     def search(rows: DataFrame, whole: bool, found: DataFrame | None, first: bool) -> tuple[DataFrame, DataFrame | None]:
-        """The forests' trees (not ``whole``), and the components after what is found."""
-        rows = leaves if found is None else _open(rows, found)
-        if found is None:
-            rows = rows.withColumn("label", F.col("cls"))
-        seen = stored(_pairs_of(_dealt(rows, first), points, bound, whole), "seen")
-        pairs = stored(seen.where("a <> b").select("a", "b").distinct(), "pairs")
+        """The pairs that survive (not ``whole``: of the forests), and the components after what is found."""
+        rows = rows.withColumn("label", F.col("cls")) if found is None else _open(rows, found)
+        dealt = stored(_dealt(rows, first), "dealt")  # is counted, then searched
+        seen = stored(_pairs_of(dealt, points, bound, whole), "seen")
+        pairs = stored(seen.distinct(), "pairs")
         # Members of a group meet in many leaves: one pair of each is verified first, then those that still lie in different components.
         once = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "once")
         found = joined(found, verified(once))
@@ -307,8 +310,8 @@ def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text",
         left = stored(pairs.join(once, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left").where(apart).select("a", "b"), "left")
         if not left.isEmpty():
             found = joined(found, verified(left))
-        dropped(pairs, once, left, rows)
-        return seen, found
+        dropped(dealt, seen, once, left, rows)
+        return pairs, found
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
@@ -327,17 +330,17 @@ def ngram_groups(documents: DataFrame, key: str = "doc_id", text: str = "text",
         return out
 
     seen, found = search(leaves, False, None, True)
-    trees = [_trees(seen)]
+    forests = [seen]
     # Leaves of several parts, of which only those with the first have met.
     several = stored(leaves.join(leaves.groupBy("home").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PART).select("home"), "home", "left_semi"), "several")
     if not several.isEmpty():
         again, found = search(several, False, found, False)
-        trees.append(_trees(again))
-    rest = stored(trees[0] if len(trees) == 1 else trees[0].unionByName(trees[1]), "trees")
+        forests.append(again)
+    rest = _rest(forests[0] if len(forests) == 1 else forests[0].unionByName(forests[1]), leaves, found)
     if not rest.isEmpty():
         last, found = search(rest, True, found, False)
         dropped(last)
-    dropped(points, leaves, several, rest, seen, *([again] if len(trees) > 1 else []))
+    dropped(points, leaves, several, rest, *forests)
     # A class's component is named by the smallest key in any of its classes.
     named = found.join(classes.select("cls", "rep"), "cls")
     smallest = named.groupBy("label").agg(F.min("rep").alias("least"))
@@ -485,10 +488,28 @@ def _open(leaves: DataFrame, found: DataFrame) -> DataFrame:
     return stored(rows.join(open_, "home"), "open")
 
 
-def _trees(seen: DataFrame) -> DataFrame:
-    """Leaves of the trees that a search has left: the ends of their pairs."""
-    named = seen.where("home is not null")
-    return named.select("home", F.col("a").alias("cls")).union(named.select("home", "b")).distinct()
+def _rest(pairs: DataFrame, leaves: DataFrame, found: DataFrame) -> DataFrame:
+    """home and cls of the members that the forests' ``pairs`` join, but the links that are found don't.
+
+    Links are some of the pairs, so that only the pairs between two components of links
+    are followed. A home is a component of pairs, each member in it once; in a component
+    of more than ``PARTS`` parts it is what a leaf has of it. Of two members there is one
+    pair, which has been verified.
+    """
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(found, "cls", "left")
+    ends = stored(ends.select("cls", F.coalesce("label", "cls").alias("label")), "ends")
+    between = [ends.select(F.col("cls").alias(x), F.col("label").alias(f"{x}_label")) for x in ("a", "b")]
+    between = stored(pairs.join(between[0], "a").join(between[1], "b").where("a_label <> b_label").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), "between")
+    tops = components(between)
+    inside = stored(ends.join(tops.select(F.col("cls").alias("label"), F.col("label").alias("top")), "label").select("cls", "top"), "inside")
+    sizes = inside.groupBy("top").agg(F.count(F.lit(1)).alias("m")).where("m > 2")
+    held = stored(inside.join(sizes, "top").select("cls", "top", (F.col("m") > PARTS * PART).alias("large")), "held")
+    out = held.where("not large").select(F.xxhash64("top").alias("home"), "cls")
+    if not held.where("large").isEmpty():
+        out = out.unionByName(leaves.join(held.where("large"), "cls").select(F.xxhash64("home", "top").alias("home"), "cls"))
+    out = stored(out, "rest")
+    dropped(ends, between, tops, inside, held)
+    return out
 
 
 def _dealt(rows: DataFrame, first: bool) -> DataFrame:
@@ -520,10 +541,8 @@ def _dealt(rows: DataFrame, first: bool) -> DataFrame:
 def _pairs_of(rows: DataFrame, points: DataFrame, bound: Bound, whole: bool) -> DataFrame:
     """Pairs (a, b) of leaves' members, with other labels, whose points allow a link.
 
-    Not ``whole``: of each leaf a spanning forest of those pairs, nearest first, with the
-    name of their tree if it has three members or more: only in these are there pairs
-    left that allow a link. Members that a tree has by their label alone follow as (a, a,
-    tree).
+    Not ``whole``: of each leaf a spanning forest of those pairs, nearest first: members
+    of any such pair are in one tree, or in trees that links join.
     """
     # By number: leaves are few bytes but much work, so that small partitions must not be merged.
     number = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / TASK_ROWS))
@@ -552,16 +571,8 @@ def _pairs_of(rows: DataFrame, points: DataFrame, bound: Bound, whole: bool) ->
                 of[of == of[near[0]]] = of[i]
                 apart -= 1
                 near = near[of[near] != of[i]]
-        _, at, size = np.unique(of, return_inverse=True, return_counts=True)
-        names = np.zeros(len(size), np.uint64)
-        np.add.at(names, at, _member_hash(np.frombuffer(b"".join(cls), _CLASS)["lo"]))
         for i, j in edges:
-            yield min(cls[i], cls[j]), max(cls[i], cls[j]), None if whole or size[at[i]] == 2 else int(names[at[i]].astype(np.int64))
-        if not whole and len(numbers) < len(cls):  # members that are in a tree only by their label
-            grown, ends = {int(at[i]) for i, _ in edges}, {x for e in edges for x in e}
-            for i in range(len(cls)):
-                if int(at[i]) in grown and i not in ends and size[at[i]] > 2:
-                    yield cls[i], cls[i], int(names[at[i]].astype(np.int64))
+            yield min(cls[i], cls[j]), max(cls[i], cls[j])
 
     def run(batches):
         task, held = None, []
@@ -585,11 +596,11 @@ def _pairs_of(rows: DataFrame, points: DataFrame, bound: Bound, whole: bool) ->
             out.update(pairs())
         yield _seen(out)
 
-    return rows.mapInArrow(run, "a binary, b binary, home long")
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def _seen(out: set) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["a", "b", "home"])
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
